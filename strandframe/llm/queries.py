@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_output
+from . import langid, packing, secrets, simhash, token_output, toxicity
+from .util import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = langid.fitted(docs, training=fold("doc_id", 4) != 2, calibration=fold("doc_id", 32) == 1)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return langid.predicted(held, models).withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.filter("_spans", lambda s: s["kind"] == k)
+    base = F.filter("_spans", lambda s: s["kind"] < len(secrets.BASE))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    return docs.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -34,5 +51,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"), words=3, within=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_token_output, op6_best_fit_packing, op8_simhash_near_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fitted(docs, labels.where(fold("doc_id", 5) != 0))
+    scored = toxicity.scored(docs, weights)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_secret_scan, op6_best_fit_packing, op8_simhash_near_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
