@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, secrets, simhash, token_output, toxicity
+from . import fertility, langid, mixing, neighbours, packing, quality, secrets, simhash, token_output, toxicity
 from .util import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(held, models).withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "_mix.*")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.assessed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), tokenizer("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.MEASURES)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda k: F.filter("_spans", lambda s: s["kind"] == k)
@@ -47,10 +56,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.linked(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"), words=3, within=2)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    found = quality.classified(docs.select("doc_id", "text", "lang", "source"), model, host=F.col("source"), path=F.col("lang"))
+    return found.select("doc_id", "_quality.*")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = toxicity.fitted(docs, labels.where(fold("doc_id", 5) != 0))
@@ -58,5 +78,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op3_token_output, op5_secret_scan, op6_best_fit_packing, op8_simhash_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_source_mixing,
+        op3_token_output,
+        op4_tokeniser_fertility,
+        op5_secret_scan,
+        op6_best_fit_packing,
+        op7_embedding_near_dedup,
+        op8_simhash_near_dedup,
+        op9_quality_classifier,
+        op10_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {}
