@@ -16,26 +16,35 @@ SAMPLE, LEAF, BLOCK = 1 << 16, 1 << 13, 1 << 13
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of each byte value, lowest first
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64 majority bits of the XXH64 of all word shingles (ASCII case folded, ASCII white space between words)."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included (ASCII case folded, ASCII white space between words); a text of fewer
+    words is one shingle, one without words has none."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII rules
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
+    line = b" ".join(found)
     if len(found) <= words:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(found), seed)], np.uint64)
-    else:
-        line = b" ".join(found)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        begin = np.cumsum(size + 1) - size - 1
-        end = (begin + size)[words - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(line[i:j], seed) for i, j in zip(begin.tolist(), end, strict=False)), np.uint64, len(end))
+        return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    begin = np.cumsum(size + 1) - size - 1
+    end = (begin + size)[words - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[i:j], seed) for i, j in zip(begin.tolist(), end, strict=False)), np.uint64, len(end))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none: 0."""
     set_bits = np.concatenate([np.bincount(b, minlength=256) @ _BITS for b in h.astype("<u8").view(np.uint8).reshape(-1, 8).T])
     return sum(1 << int(k) for k in np.flatnonzero(2 * set_bits > len(h)))
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """64 majority bits of a text's shingles."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long; null and empty texts have fingerprint 0."""
 
@@ -103,6 +112,18 @@ def linked(points: np.ndarray, queries: np.ndarray, within: int, union) -> None:
                 union(a[x], b[y])
 
 
+def _tiled(asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``asked`` (keys, role 0 for points and 1 for queries, name) with blocks p and q: each point in its block of points
+    once for every block of queries of its leaf, each query likewise."""
+    # a row for each leaf of the tree, which the sample bounds
+    size = asked.groupBy(*keys).agg(*(F.greatest(F.ceil(F.sum(F.when(F.col("role") == k, 1).otherwise(0)) / BLOCK).cast("int"), F.lit(1)).alias(n) for k, n in ((0, "ps"), (1, "qs"))))
+    sized = asked.join(F.broadcast(size), keys)
+    mine = lambda n: F.array(F.pmod(F.xxhash64(name), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = lambda n, role: F.explode(F.when(F.col("role") == role, mine(n)).otherwise(every(n)))
+    return sized.withColumn("p", dealt("ps", 0)).withColumn("q", dealt("qs", 1))
+
+
 def links(classes: DataFrame, within: int = 2) -> DataFrame:
     """(a, b): links among the distinct fingerprints ``fp`` that join exactly those that chains of pairs at most ``within``
     bits apart join.
@@ -129,13 +150,7 @@ def links(classes: DataFrame, within: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(0), column(1), pa.array(fp[np.concatenate([at for _, _, at in found])].view(np.int64))], ["leaf", "role", "fp"])
 
     asked, _ = written(classes.select("fp").mapInArrow(ask, "leaf int, role int, fp long"), "asked")
-    # blocks of points and of queries by leaf: a row for each leaf of the tree, which the sample bounds
-    size = asked.groupBy("leaf").agg(*(F.ceil(F.sum(F.when(F.col("role") == k, 1).otherwise(0)) / BLOCK).cast("int").alias(n) for k, n in ((0, "ps"), (1, "qs"))))
-    size = size.select("leaf", F.greatest("ps", F.lit(1)).alias("ps"), F.greatest("qs", F.lit(1)).alias("qs"))
-    sized = asked.join(F.broadcast(size), "leaf")
-    mine = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    tiles = sized.withColumn("p", F.explode(F.when(F.col("role") == 0, F.array(mine("ps"))).otherwise(every("ps")))).withColumn("q", F.explode(F.when(F.col("role") == 1, F.array(mine("qs"))).otherwise(every("qs"))))
+    tiles = _tiled(asked, ["leaf"], "fp")
 
     def forest(table: pa.Table) -> pa.Table:
         role, fp = np.asarray(table.column("role")), np.asarray(table.column("fp")).view(np.uint64)
@@ -150,6 +165,86 @@ def links(classes: DataFrame, within: int = 2) -> DataFrame:
     return tiles.select("leaf", "p", "q", "role", "fp").groupBy("leaf", "p", "q").applyInArrow(forest, "a long, b long")
 
 
+#: Bits of a wide fingerprint, trees that look for its neighbours, and how far beyond a radius a query still crosses.
+WIDE, TREES, SLACK = 256, 3, 2
+_PRINTS = [f"f{k}" for k in range(WIDE // 64)]
+
+
+def wide_fingerprint(text: str | None, words: int) -> list[int]:
+    """256 majority bits: of the shingles' hashes, and of three mixed forms of them."""
+    h = shingle_hashes(text, words)
+    out = [majority(h)]
+    for k in range(1, len(_PRINTS)):
+        mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
+def widest(similarity: float) -> int:
+    """Bits of 256 in which texts of a shingle similarity (Jaccard) differ on average: their angle over pi."""
+    return int(WIDE / np.pi * np.arccos(2 * similarity / (1 + similarity)))
+
+
+def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = TREES, slack: int = SLACK, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, component_id) of every document: groups of texts whose shingles are similar, by 256-bit fingerprints.
+
+    At such distances the triangle bound of 64 bits would reach nearly every leaf. So a query crosses a radius only within
+    ``slack`` bits, in several trees of different vantage points: a pair is missed only if all trees part it by more (with
+    these settings under one in a hundred at 9 bits of 64), and what is found is verified on all 256 bits, where unrelated
+    texts never come near. Equal fingerprints are one class, so exact copies are never missed.
+    """
+    spark = docs.sparkSession
+
+    def rows(batches):
+        for b in slices(batches, "text", TEXT_BYTES):
+            fp = np.array([wide_fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).reshape(len(b), -1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["doc_id", *_PRINTS])
+
+    columns = ", ".join(f"{c} long" for c in _PRINTS)
+    prints, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, f"doc_id long, {columns}"), "fingerprints")
+    classes = checkpointed(prints.where("doc_id is not null").groupBy(*_PRINTS).agg(F.min("doc_id").alias("node")))
+    total = classes.count()
+    sample = np.array([r.f0 for r in classes.select("f0").orderBy(F.xxhash64(*_PRINTS)).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    grove = [grown(np.random.default_rng(k).permutation(sample), leaf / max(total, 1)) if len(sample) else 0 for k in range(trees)]
+    shared = spark.sparkContext.broadcast(grove)
+
+    def ask(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            fp = np.asarray(b.column("f0")).view(np.uint64)
+            every = np.arange(len(fp))
+            found = [(k, leaf, role, at) for k, tree in enumerate(shared.value) for role, reach in ((0, 0), (1, slack)) for leaf, at in reached(tree, fp, every, reach)]
+            size = [len(f[3]) for f in found]
+            keys = [pa.array(np.repeat(np.array([f[k] for f in found], np.int32), size)) for k in range(3)]
+            at = pa.array(np.concatenate([f[3] for f in found]))
+            yield pa.RecordBatch.from_arrays([*keys, *(b.column(c).take(at) for c in ("node", *_PRINTS))], ["tree", "leaf", "role", "node", *_PRINTS])
+
+    asked, _ = written(classes.mapInArrow(ask, f"tree int, leaf int, role int, node long, {columns}"), "asked")
+    most = widest(similarity)
+
+    def forest(table: pa.Table) -> pa.Table:
+        role, node = np.asarray(table.column("role")), np.asarray(table.column("node"))
+        fp = np.stack([np.asarray(table.column(c)).view(np.uint64) for c in _PRINTS])
+        names, at = np.unique(node, return_inverse=True)
+        label = np.arange(len(names))
+        p, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        for i in range(0, len(p), 1024):
+            for j in range(0, len(q), 1024):
+                a, b = p[i : i + 1024], q[j : j + 1024]
+                x, y = np.nonzero(np.bitwise_count(fp[0, a][:, None] ^ fp[0, b]) <= most // 2)
+                x, y = a[x], b[y]
+                near = np.bitwise_count(fp[:, x] ^ fp[:, y]).sum(axis=0, dtype=np.int64) <= most
+                local_union(label, at[x[near]], at[y[near]])
+        child = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": names[label[child]], "b": names[child]})
+
+    found = _tiled(asked, ["tree", "leaf"], "node").select("tree", "leaf", "p", "q", "role", "node", *_PRINTS).groupBy("tree", "leaf", "p", "q").applyInArrow(forest, "a long, b long")
+    table = classes.join(components(found), "node", "left").select(*_PRINTS, F.coalesce("root", "node").alias("component_id"))
+    return prints.join(table, _PRINTS, "left").select("doc_id", "component_id")
+
+
 def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach) of every document.
 
