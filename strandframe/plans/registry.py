@@ -31,3 +31,4 @@ from . import bytes as _bytes  # noqa: E402, F401
 from . import relations as _relations  # noqa: E402, F401
 from . import series as _series  # noqa: E402, F401
 from . import service as _service  # noqa: E402, F401
+from . import streams as _streams  # noqa: E402, F401
