@@ -51,7 +51,7 @@ def negotiated(header: Column, offered: list[str]) -> Column:
     entry = lambda p: F.struct(F.trim(F.split(p, ";")[0]).alias("name"), F.coalesce(F.regexp_extract(p, r"q=([0-9.]+)", 1).try_cast("double"), F.lit(1.0)).alias("q"))
     named = F.transform(parts, entry)
     weight = lambda name: F.coalesce(F.try_element_at(F.transform(F.filter(named, lambda e: e["name"] == name), lambda e: e["q"]), F.lit(1)), F.try_element_at(F.transform(F.filter(named, lambda e: e["name"] == "*"), lambda e: e["q"]), F.lit(1)), F.lit(0.0))
-    ranked = F.array_sort(F.filter(F.array(*(F.struct((-weight(n)).alias("q"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in enumerate(offered))), lambda e: e["q"] < 0))
+    ranked = F.array_sort(F.filter(F.array(*(F.struct((F.lit(0.0) - weight(n)).alias("q"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in enumerate(offered))), lambda e: e["q"] < 0))
     return F.try_element_at(ranked, F.lit(1))["name"]
 
 
