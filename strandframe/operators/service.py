@@ -47,7 +47,7 @@ def fenced(updates: DataFrame, current: DataFrame, key: list[str], revision: str
 
 def negotiated(header: Column, offered: list[str]) -> Column:
     """The offered coding of the greatest weight in an Accept-Encoding header (ties: the earlier offer; weight 0: refused)."""
-    parts = F.filter(F.transform(F.split(F.lower(header), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.lower(header), ","), lambda p: F.trim(p)), lambda p: p != "")
     entry = lambda p: F.struct(F.trim(F.split(p, ";")[0]).alias("name"), F.coalesce(F.regexp_extract(p, r"q=([0-9.]+)", 1).try_cast("double"), F.lit(1.0)).alias("q"))
     named = F.transform(parts, entry)
     weight = lambda name: F.coalesce(F.try_element_at(F.transform(F.filter(named, lambda e: e["name"] == name), lambda e: e["q"]), F.lit(1)), F.try_element_at(F.transform(F.filter(named, lambda e: e["name"] == "*"), lambda e: e["q"]), F.lit(1)), F.lit(0.0))
