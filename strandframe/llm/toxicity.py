@@ -21,6 +21,8 @@ TEXT_BYTES = 4 << 20
 #: The model is fitted on at most so many labelled rows (those with the least hash of the id) of at most so many characters,
 #: so that training is bounded; every row is scored.
 SAMPLE, SAMPLE_CHARS = 16_384, 65_536
+#: A feature takes part if so many positive rows of the sample hold it: fewer can't overcome the L1 term.
+LEAST = 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX, _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -59,13 +61,6 @@ class Weights:
     values: np.ndarray
     bias: float
 
-    def margin(self, found: np.ndarray) -> float:
-        """Bias and weights of distinct features."""
-        if not len(self.keys):
-            return self.bias
-        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        return float(self.bias + self.values[at[self.keys[at] == found]].sum())
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         rows, found = features(texts)
         total = np.full(len(texts), self.bias)
@@ -77,34 +72,31 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3, least: int = 4) -> Weights:
-    """Fit on each row's distinct features; a feature of fewer than ``least`` rows can't overcome the L1 term and is left out."""
-    keys, count = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    keys = keys[count >= least]
-    at = [np.searchsorted(keys, r[np.isin(r, keys, assume_unique=True)]) for r in rows]
-    z, n = np.zeros(len(keys)), np.zeros(len(keys))
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, width: int, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3) -> Weights:
+    """Weights of ``width`` features from each row's distinct feature numbers, one row after another."""
+    z, n = np.zeros(width), np.zeros(width)
     bias = zb = nb = 0.0
     for _ in range(epochs):
-        for k, y in zip(at, labels, strict=True):
+        for k, y in zip(rows, labels, strict=True):
             zk, nk = z[k], n[k]
-            w = np.where(np.abs(zk) <= l1, 0.0, (np.sign(zk) * l1 - zk) / ((beta + np.sqrt(nk)) / alpha + l2))
+            root = np.sqrt(nk)
+            w = np.where(np.abs(zk) <= l1, 0.0, (np.sign(zk) * l1 - zk) / ((beta + root) / alpha + l2))
             bias = -zb / ((beta + nb**0.5) / alpha + l2)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -500, 500))) - y
-            grown = np.sqrt(nk + g * g)
-            z[k] = zk + g - (grown - np.sqrt(nk)) / alpha * w
+            z[k] = zk + g - (np.sqrt(nk + g * g) - root) / alpha * w
             n[k] = nk + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    return Weights(keys[w != 0], w[w != 0], float(bias))
+    return Weights(np.arange(width), w, float(bias))
 
 
-def calibrated(weights: Weights, rows: list[np.ndarray], labels: np.ndarray) -> Weights:
+def calibrated(weights: Weights, margins: np.ndarray, labels: np.ndarray) -> Weights:
     """Rescale so that margins fit rows that took no part in training (Platt's method, smoothed targets); a single class: as is."""
     ones, zeros = int(labels.sum()), int(len(labels) - labels.sum())
     if not ones or not zeros:
         return weights
-    x = np.stack([[weights.margin(r) for r in rows], np.ones(len(rows))], axis=1)
+    x = np.stack([margins, np.ones(len(margins))], axis=1)
     y = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     beta = np.array([1.0, 0.0])
     for _ in range(50):
@@ -128,21 +120,39 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Weights:
     chosen = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id").join(truth, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
 
-    def hashed(batches):
-        for b in slices(batches, "text", TEXT_BYTES):
-            row, found = features(b.column("text").to_pylist())
-            order = np.argsort(row, kind="stable")
-            cuts = np.searchsorted(row[order], np.arange(1, len(b)))
-            parts = [np.unique(f).astype("<u8").tobytes() for f in np.split(found[order], cuts)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "label", "found"])
-
-    table = texts.mapInArrow(hashed, "doc_id long, label int, found binary").toArrow()  # at most SAMPLE rows
+    def hashed(keys):
+        """Each row's distinct features: all of them, or the places in sorted ``keys`` of those that are there."""
+
+        def rows(batches):
+            for b in slices(batches, "text", TEXT_BYTES):
+                row, found = features(b.column("text").to_pylist())
+                if keys is not None:
+                    at = np.minimum(np.searchsorted(keys.value, found), max(len(keys.value) - 1, 0))
+                    hit = keys.value[at] == found if len(keys.value) else np.zeros(len(found), bool)
+                    row, found = row[hit], at[hit]
+                order = np.argsort(row, kind="stable")
+                cuts = np.searchsorted(row[order], np.arange(1, len(b)))
+                parts = [np.unique(f).astype("<u8" if keys is None else "<u4").tobytes() for f in np.split(found[order], cuts)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "label", "found"])
+
+        return rows
+
+    schema = "doc_id long, label int, found binary"
+    # features of enough positive rows, then each row's share of them: what reaches the driver is bounded by SAMPLE
+    positive = [np.frombuffer(f.as_buffer(), "<u8") for f in texts.where("_label = 1").mapInArrow(hashed(None), schema).select("found").toArrow().column("found")]
+    keys, count = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = keys[count >= LEAST]
+    del positive
+    table = texts.mapInArrow(hashed(docs.sparkSession.sparkContext.broadcast(keys)), schema).toArrow()
     order = np.argsort(np.asarray(table.column("doc_id")) * 0x9E3779B1 % 1_000_003, kind="stable")  # ids in a fixed mixed order
     found = table.column("found").to_pylist()
-    rows, truth = [np.frombuffer(found[k], "<u8") for k in order], np.asarray(table.column("label"))[order]
+    rows, truth = [np.frombuffer(found[k], "<u4").astype(np.int64) for k in order], np.asarray(table.column("label"))[order]
     apart = np.arange(len(rows)) % 8 == 0  # for calibration
-    weights = ftrl([r for r, a in zip(rows, apart, strict=True) if not a], truth[~apart])
-    return calibrated(weights, [r for r, a in zip(rows, apart, strict=True) if a], truth[apart])
+    weights = ftrl([r for r, a in zip(rows, apart, strict=True) if not a], truth[~apart], len(keys))
+    margins = np.array([weights.bias + weights.values[r].sum() for r, a in zip(rows, apart, strict=True) if a])
+    weights = calibrated(Weights(keys, weights.values, weights.bias), margins, truth[apart])
+    kept = weights.values != 0
+    return Weights(weights.keys[kept], weights.values[kept], weights.bias)
 
 
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
