@@ -55,7 +55,7 @@ def raked(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray
             now = np.bincount(code, out, minlength=len(target))
             want = np.where(now > 0, target, 0)
             want = want / max(want.sum(), 1e-300)
-            factor = np.divide(want, now, out=np.ones_like(now), where=now > 0)
+            factor = np.divide(want, now, out=np.ones(len(now)), where=now > 0)
             worst = max(worst, float(np.abs(now - want).max(initial=0)))
             out = out * factor[code]
         if worst < CLOSE:
