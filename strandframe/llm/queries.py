@@ -93,4 +93,31 @@ QUERIES: dict[str, Query] = {
         op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """Spans of each rule from the lengths of the texts between its matches and of the matches."""
+    lengths = "list_transform({0}, lambda x: length(x))"
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        regex = rule.regex.replace("'", "''")
+        all_of = lambda g: lengths.format(f"regexp_extract_all(t, '{regex}', {g})")  # noqa: E731, B023
+        parts.append(f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {lengths.format(f"string_split_regex(t, '{regex}')")} AS gaps, {all_of(0)} AS longs, {all_of(rule.group)} AS sizes, {rule.least} AS least FROM d")
+    base = f"k < {len(secrets.BASE)}"
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+i AS (SELECT doc_id, k, kind, gaps, longs, sizes, least, unnest(range(1, len(longs) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, (list_sum(gaps[1:i]) + coalesce(list_sum(longs[1:i - 1]), 0))::BIGINT AS a, longs[i] AS n FROM i WHERE sizes[i] >= least),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (WHERE {base}) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+#: Embeddings by all pairs (for small tables only; the query itself never makes them).
+_NEIGHBOUR_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x AS vec_id, count(*) AS n FROM p GROUP BY x)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+#: The others need a tokenizer, trained models or XXH64, which SQL doesn't have: tests hold them against brute force.
+ORACLES: dict[str, str] = {"op5_secret_scan": _secret_sql(), "op7_embedding_near_dedup": _NEIGHBOUR_SQL}
