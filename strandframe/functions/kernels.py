@@ -11,7 +11,7 @@ import bz2
 import gzip
 import lzma
 import zlib
-from math import factorial, lgamma, log
+from math import factorial
 
 import numpy as np
 
@@ -19,6 +19,7 @@ import numpy as np
 LAGS = (1, 2, 4, 8, 16, 32, 64)
 STRIDES = {4: (1, True, False), 6: (4, True, True), 7: (8, True, True), 9: (4, False, True), 17: (4, True, False), 18: (8, True, False)}
 CHUNKS = (128, 256, 512, 1024)
+WIDTHS = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048)
 
 
 def octets(data: bytes) -> np.ndarray:
@@ -175,14 +176,49 @@ def best_stride(x: np.ndarray, sample: int = 4096) -> tuple[int, float]:
     return next((k, s) for s, k in scored if s == least)
 
 
-def type_class_bits(counts: np.ndarray) -> float:
-    """log2 of: symbol sets of this size, times compositions, times arrangements."""
-    c = counts[counts > 0]
-    n, m = int(c.sum()), len(c)
-    if n == 0:
-        return 0.0
-    choose = lambda a, b: (lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)) / log(2)
-    return choose(256, m) + choose(n - 1, m - 1) + (lgamma(n + 1) - sum(lgamma(int(k) + 1) for k in c)) / log(2)
+def estimates(counts: np.ndarray) -> np.ndarray:
+    """Type-class sizes in bytes of rows of 256 counts: a byte, the symbol set, the composition and the arrangement; empty: 1."""
+    n, m = counts.sum(axis=1), (counts > 0).sum(axis=1)
+    lf = np.concatenate([[0.0], np.cumsum(np.log2(np.arange(1, max(int(n.max(initial=0)), 256) + 1)))])
+    bits = 8 + lf[256] - lf[m] - lf[256 - m] + lf[n] - lf[counts].sum(axis=1)
+    several = m > 1
+    bits[several] += (lf[np.maximum(n - 1, 0)] - lf[np.maximum(m - 1, 0)] - lf[np.maximum(n - m, 0)])[several]
+    return np.where(n > 0, bits / 8, 1.0)
+
+
+def estimate(x: np.ndarray) -> float:
+    return float(estimates(np.bincount(x, minlength=256)[None])[0])
+
+
+def local_estimate(x: np.ndarray, chunks: tuple[int, ...]) -> float:
+    """The least of the whole sequence's estimate and, for chunk sizes that it holds twice, two bytes and its chunks'."""
+    best = estimate(x)
+    for size in chunks:
+        if len(x) >= 2 * size:
+            rows = -(-len(x) // size)
+            key = np.repeat(np.arange(rows), size)[: len(x)] * 256 + x
+            best = min(best, 2.0 + float(estimates(np.bincount(key, minlength=rows * 256).reshape(rows, 256)).sum()))
+    return best
+
+
+def width_candidates(x: np.ndarray, most: int = 2048) -> list[int]:
+    """Record widths to try: the usual ones, the voted ones and their divisors, up to a sixteenth of the sequence."""
+    limit = min(most, len(x) // 16)
+    if limit < 2:
+        return []
+    voted = {w for w, _ in record_widths(x, most)}
+    parts = {d for w in voted for d in range(2, w + 1) if w % d == 0}
+    return sorted(w for w in {*WIDTHS, *voted, *parts} if w <= limit)
+
+
+def periods(x: np.ndarray, most: int = 4) -> list[tuple[float, int, str]]:
+    """(estimate, lag, operation) of the best residuals at the candidate lags; equal estimates: the smaller lag, xor first."""
+    tried = []
+    for lag in width_candidates(x):
+        if 2 * lag <= len(x):
+            for place, (name, residual) in enumerate((("xor", xor_lag), ("sub", sub_lag))):
+                tried.append((round(local_estimate(residual(x, lag), (*CHUNKS, 2048)), 6), lag, place, name))
+    return [(e, lag, name) for e, lag, _, name in sorted(tried)[:most]]
 
 
 def record_widths(x: np.ndarray, most: int = 2048, top: int = 16) -> list[tuple[int, int]]:

@@ -134,13 +134,18 @@ def stride_choice(df: DataFrame, keep: list[str], data: str, sample: int = 4096)
 
 
 def type_class(df: DataFrame, keep: list[str], data: str) -> DataFrame:
-    """Bytes, symbols and type-class estimate in bits of each whole sequence."""
+    """Bytes, symbols and type-class estimate in bytes of each whole sequence."""
 
     def row(d: bytes) -> dict:
-        c = np.bincount(K.octets(d), minlength=256)
-        return {"n_bytes": len(d), "symbols": int((c > 0).sum()), "bits": K.type_class_bits(c)}
+        x = K.octets(d)
+        return {"n_bytes": len(d), "symbols": len(np.unique(x)), "estimate": K.estimate(x)}
+
+    return per_blob(df, keep, data, row, "n_bytes long, symbols int, estimate double")
+
 
-    return per_blob(df, keep, data, row, "n_bytes long, symbols int, bits double")
+def period_profile(df: DataFrame, keep: list[str], data: str, most: int = 4) -> DataFrame:
+    """The best periodic residuals of each sequence by local estimate."""
+    return per_blob(df, keep, data, lambda d: [{"rank": k, "lag": lag, "operation": op, "estimate": e} for k, (e, lag, op) in enumerate(K.periods(K.octets(d), most))], "rank int, lag int, operation string, estimate double")
 
 
 def record_width_votes(df: DataFrame, keep: list[str], data: str, top: int = 16) -> DataFrame:
@@ -167,7 +172,7 @@ def coded(df: DataFrame, keep: list[str], data: str) -> DataFrame:
         c = np.bincount(x, minlength=256)
         runs = int((np.diff(x.astype(np.int16)) != 0).sum()) + 1 if len(x) else 0
         whole = lambda bits: int(-(-bits // 8))
-        costs = [("raw", len(d)), ("runs", 2 * runs), ("composition", whole(K.type_class_bits(c)) if K.entropy(x[:8192]) < 7.5 else None), ("deflate", len(zlib.compress(d, 6))), ("range", whole(K.context_bits(x, 0))), ("context", whole(K.context_bits(x, 1))), ("huffman", whole(K.huffman_bits(c)) + 128)]
+        costs = [("raw", len(d)), ("runs", 2 * runs), ("composition", int(np.ceil(K.estimate(x))) if K.entropy(x[:8192]) < 7.5 else None), ("deflate", len(zlib.compress(d, 6))), ("range", whole(K.context_bits(x, 0))), ("context", whole(K.context_bits(x, 1))), ("huffman", whole(K.huffman_bits(c)) + 128)]
         return [{"place": k, "coder": name, "bytes": n} for k, (name, n) in enumerate(costs) if n is not None]
 
     return per_blob(df, keep, data, rows, "place int, coder string, bytes long")

@@ -159,9 +159,15 @@ def stride_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BYTES}, c AS (SELECT doc_id, b, count(*) AS c FROM bytes GROUP BY doc_id, b),
 g AS (SELECT doc_id, sum(c) AS n, count(*) AS m, sum(lgamma(c + 1.0)) AS s FROM c GROUP BY doc_id)
-SELECT doc_id, n::BIGINT AS n_bytes, m::INT AS symbols, round((lgamma(257.0) - lgamma(m + 1.0) - lgamma(257.0 - m) + lgamma(n::DOUBLE) - lgamma(m::DOUBLE) - lgamma(n - m + 1.0) + lgamma(n + 1.0) - s) / ln(2), 5) AS bits FROM g""")
+SELECT z.doc_id, z.n::BIGINT AS n_bytes, coalesce(m, 0)::INT AS symbols, round(CASE WHEN z.n = 0 THEN 1.0 ELSE (8 + (lgamma(257.0) - lgamma(m + 1.0) - lgamma(257.0 - m) + lgamma(z.n::DOUBLE) - lgamma(m::DOUBLE) - lgamma(z.n - m + 1.0) + lgamma(z.n + 1.0) - s) / ln(2)) / 8 END, 5) AS estimate FROM sizes z LEFT JOIN g USING (doc_id)""")
 def typeclass_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs.type_class(table(spark, sf_dir, "documents"), ["doc_id"], "text").where("n_bytes > 0").withColumn("bits", F.round("bits", 5))
+    return blobs.type_class(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumn("estimate", F.round("estimate", 5))
+
+
+@query()
+def period_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best periodic residuals of each text."""
+    return blobs.period_profile(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(f"""WITH {BYTES}, c AS (SELECT doc_id, pos // 1024 AS tile, b, count(*) AS c FROM bytes GROUP BY ALL)

@@ -129,3 +129,41 @@ def test_manifest_differences(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, address string")
     b = spark.createDataFrame([(2, "y"), (3, "z")], "id long, address string")
     assert rows(frames.differences(a, b, ["id", "address"])) == [(1, "x", "missing"), (3, "z", "extra")]
+
+
+def test_record_admissions(spark):
+    import struct
+
+    from strandframe.operators import records
+
+    grid = struct.pack("<7i", 5, 6, -2, 0, 1, -1, 28) + bytes(56)
+    data = [(0, b""), (1, b"\x03\x00\x05"), (2, b"\x01\x00\x00"), (3, grid), (4, grid + b"x"), (5, b"..V2000..M  END"), (6, b"\x7fELF"), (7, None)]
+    df = spark.createDataFrame(data, "id int, data binary")
+    got = {r.id: (r.kinds, r.n) for r in df.select("id", records.admissions(F.col("data")).alias("kinds"), records.grid_records(F.col("data")).alias("n")).collect()}
+    assert got == {0: ([], None), 1: (["records"], None), 2: ([], None), 3: (["grid"], 2), 4: ([], None), 5: (["molecule"], None), 6: (["executable"], None), 7: ([], None)}
+
+
+def test_molecules(spark):
+    from strandframe.operators import records
+
+    lines = ["name", "", "", "  2  1  0  V2000", "    1.5000   -0.2500    0.0000 C   0", "   -0.0000   12.0000  999.0001 Br  0", "M  END"]
+    text = "\n".join(lines) + "\n$$$$\n" + "x"
+    df = spark.createDataFrame([(1, text), (2, "")], "id int, text string")
+    parts = records.molecule_records(df, ["id"], "text")
+    assert {r.id: r.text for r in records.joined_records(parts, ["id"]).collect()} == {1: text, 2: ""}
+    got = [tuple(r) for r in records.atoms(parts, ["id"]).orderBy("atom").collect()]
+    assert got == [(1, 0, 0, 15_000, -2_500, 0, 0), (1, 0, 1, None, 120_000, 9_990_001, 4)]
+
+
+def test_estimates():
+    import math
+
+    import numpy as np
+
+    from strandframe.functions import kernels as K
+
+    assert K.estimate(K.octets(b"")) == 1.0 and K.estimate(K.octets(b"aaaa")) == pytest.approx((8 + math.log2(256)) / 8)
+    assert K.estimate(K.octets(b"ab")) == pytest.approx((8 + math.log2(math.comb(256, 2)) + 1) / 8)
+    x = np.concatenate([np.zeros(512, np.uint8), np.full(512, 7, np.uint8)])
+    assert K.local_estimate(x, (512,)) == pytest.approx(min(K.estimate(x), 2 + 2 * K.estimate(x[:512])))
+    assert K.width_candidates(x[:16]) == []
