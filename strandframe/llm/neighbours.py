@@ -21,7 +21,7 @@ from .components import components
 from .util import checkpointed, local_union, tasks, written
 
 #: Vectors in a window block (a vector meets its own block and the one before), projections of a pass, vectors in a block of a component.
-WINDOW, BITS, BLOCK = 1024, 62, 2048
+WINDOW, BITS, BLOCK = 1024, 62, 512
 RECALL = 0.97
 
 
@@ -153,7 +153,8 @@ def _finished(members: DataFrame, least: float) -> DataFrame:
         return pa.table({"node": node[some], "linked": linked[some]})
 
     columns = ("root", "q", "t", "role", "node", "m", "core", "vector")
-    more = asks.select(*columns).union(told.select(*columns)).groupBy("root", "q", "t").applyInArrow(count, "node long, linked long")
+    dealt = asks.select(*columns).union(told.select(*columns)).repartition(tasks(members.sparkSession), "root", "q", "t")  # a component's blocks to tasks of their own
+    more = dealt.groupBy("root", "q", "t").applyInArrow(count, "node long, linked long")
     return plain.union(more).groupBy("node").agg(F.sum("linked").cast("long").alias("linked"))
 
 
