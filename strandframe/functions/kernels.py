@@ -11,6 +11,7 @@ import bz2
 import gzip
 import lzma
 import zlib
+from functools import lru_cache
 from math import factorial
 
 import numpy as np
@@ -176,10 +177,16 @@ def best_stride(x: np.ndarray, sample: int = 4096) -> tuple[int, float]:
     return next((k, s) for s, k in scored if s == least)
 
 
+@lru_cache(maxsize=4)
+def _log2_factorials(bits: int) -> np.ndarray:
+    """log2 of k! for all k below 2^bits."""
+    return np.concatenate([[0.0], np.cumsum(np.log2(np.arange(1, 1 << bits)))])
+
+
 def estimates(counts: np.ndarray) -> np.ndarray:
     """Type-class sizes in bytes of rows of 256 counts: a byte, the symbol set, the composition and the arrangement; empty: 1."""
     n, m = counts.sum(axis=1), (counts > 0).sum(axis=1)
-    lf = np.concatenate([[0.0], np.cumsum(np.log2(np.arange(1, max(int(n.max(initial=0)), 256) + 1)))])
+    lf = _log2_factorials(max(int(n.max(initial=0)), 256).bit_length())
     bits = 8 + lf[256] - lf[m] - lf[256 - m] + lf[n] - lf[counts].sum(axis=1)
     several = m > 1
     bits[several] += (lf[np.maximum(n - 1, 0)] - lf[np.maximum(m - 1, 0)] - lf[np.maximum(n - m, 0)])[several]
