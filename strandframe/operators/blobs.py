@@ -17,9 +17,18 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it has fewer partitions than there are cores (a small table in one file); a larger
+    one, or a stream, as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def per_blob(df: DataFrame, keep: list[str], data: str, function: Callable[[bytes], dict | list[dict]], schema: str) -> DataFrame:
     """``keep`` columns and what ``function`` returns for each sequence: a row, or a list of rows."""
-    rows = df.select(*keep, F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("_data"))
+    rows = spread(df.select(*keep, F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("_data")))
     names = [c.strip().split(" ")[0] for c in _columns(schema)]
     types = df.sparkSession.createDataFrame([], schema).schema
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
