@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import checkpointed, local_union, slices, written
+from .util import checkpointed, joined_small, local_union, slices, written
 
 TEXT_BYTES = 4 << 20
 #: Fingerprints that the top of the tree is grown from, and that a leaf of it should hold; fingerprints in one block of a task.
@@ -165,84 +168,143 @@ def links(classes: DataFrame, within: int = 2) -> DataFrame:
     return tiles.select("leaf", "p", "q", "role", "fp").groupBy("leaf", "p", "q").applyInArrow(forest, "a long, b long")
 
 
-#: Bits of a wide fingerprint, trees that look for its neighbours, and how far beyond a radius a query still crosses.
-WIDE, TREES, SLACK = 256, 3, 2
-_PRINTS = [f"f{k}" for k in range(WIDE // 64)]
-
-
-def wide_fingerprint(text: str | None, words: int) -> list[int]:
-    """256 majority bits: of the shingles' hashes, and of three mixed forms of them."""
-    h = shingle_hashes(text, words)
-    out = [majority(h)]
-    for k in range(1, len(_PRINTS)):
-        mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(majority(mixed ^ (mixed >> np.uint64(32))))
-    return out
-
-
-def widest(similarity: float) -> int:
-    """Bits of 256 in which texts of a shingle similarity (Jaccard) differ on average: their angle over pi."""
-    return int(WIDE / np.pi * np.arccos(2 * similarity / (1 + similarity)))
-
+#: A shingle that at most so many texts have in their prefixes is compared all against all where it lies; texts of the sample
+#: that tells common shingles, how many of these are kept, and postings of a bucket.
+FEW, TOLD, COMMON, BUCKET = 32, 1 << 13, 1 << 16, 200_000
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix(h: np.ndarray, similarity: float, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order for all texts (by hash, those in sorted ``keys`` last by ``ranks``): so many
+    that two sets of at least this Jaccard similarity have one of them in common."""
+    rank = np.zeros(len(h), np.int64)
+    if len(keys) and len(h):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def possible(a: pa.Table, x: np.ndarray, b: pa.Table, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the postings x of ``a`` and y of ``b``, of one shingle each, can belong to similar sets that have no shingle
+    before it in common: by their sizes, by what comes after it, and by the shingles that differ (parities of 64 classes)."""
+    one, two = ({n: np.asarray(t.column(n))[k] for n in ("node", "size", "place", "bits")} for t, k in ((a, x), (b, y)))
+    both = one["size"] + two["size"]
+    fits = np.minimum(one["size"], two["size"]) >= similarity * np.maximum(one["size"], two["size"]) - 1e-9
+    fits &= np.minimum(one["size"] - one["place"], two["size"] - two["place"]) >= similarity / (1 + similarity) * both - 1e-9
+    fits &= np.bitwise_count(one["bits"].view(np.uint64) ^ two["bits"].view(np.uint64)) <= (1 - similarity) / (1 + similarity) * both + 1e-9
+    return fits & (one["node"] != two["node"])
+
+
+def paired(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): possible pairs of the postings of each token, but those whose ``root`` is one."""
+    table = table.take(pa.array(np.argsort(np.asarray(table.column("token")), kind="stable")))
+    token, root, node = (np.asarray(table.column(c)) for c in ("token", "root", "node"))
+    left, found, step, held = np.arange(len(token)), [np.zeros((0, 2), np.int64)], 1, 0
+    while len(left):
+        left = left[left + step < len(token)]
+        left = left[token[left] == token[left + step]]
+        apart = left[root[left] != root[left + step]]
+        apart = apart[possible(table, apart, table, apart + step, similarity)]
+        found.append(np.sort(np.stack([node[apart], node[apart + step]], axis=1), axis=1))
+        held += len(apart)
+        if held > 1 << 20:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of doc_ids whose texts' shingle sets are similar."""
+    known = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"{k}_text"))
 
-def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, trees: int = TREES, slack: int = SLACK, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, component_id) of every document: groups of texts whose shingles are similar, by 256-bit fingerprints.
-
-    At such distances the triangle bound of 64 bits would reach nearly every leaf. So a query crosses a radius only within
-    ``slack`` bits, in several trees of different vantage points: a pair is missed only if all trees part it by more (with
-    these settings under one in a hundred at 9 bits of 64), and what is found is verified on all 256 bits, where unrelated
-    texts never come near. Equal fingerprints are one class, so exact copies are never missed.
+    def rows(batches):
+        kept = lru_cache(64)(lambda text: shingle_set(text, words))
+        for batch in batches:
+            near = np.zeros(len(batch), bool)
+            for k, (x, y) in enumerate(zip(batch.column("a_text"), batch.column("b_text"), strict=True)):
+                x, y = kept(x.as_py()), kept(y.as_py())
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                near[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
+    return written(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(rows, "a long, b long"), "links")[0]
+
+
+def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, component_id) of every document: groups of texts that chains of pairs join whose shingle sets have at least
+    this Jaccard similarity, all of them.
+
+    Fingerprints only tell whether two texts are close on average, so none decides here. In one order of all shingles two
+    such sets have one in common among the first of each (``prefix``): candidates are the pairs of each shingle's postings
+    that the sizes, places and parities leave possible, and every one is decided on its texts. The order puts shingles that
+    are common in a sample last, which only saves work. A shingle of many postings is first tried against the smallest node
+    that has it; then its postings of different components are compared, in blocks of ``leaf``. Equal sets are one class.
     """
     spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    every = max(1, texts.count() // TOLD)
 
-    def rows(batches):
+    def told(batches):
         for b in slices(batches, "text", TEXT_BYTES):
-            fp = np.array([wide_fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64).reshape(len(b), -1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in fp.T)], ["doc_id", *_PRINTS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in b.column("text").to_pylist()]).view(np.int64))], ["token"])
 
-    columns = ", ".join(f"{c} long" for c in _PRINTS)
-    prints, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, f"doc_id long, {columns}"), "fingerprints")
-    classes = checkpointed(prints.where("doc_id is not null").groupBy(*_PRINTS).agg(F.min("doc_id").alias("node")))
-    total = classes.count()
-    sample = np.array([r.f0 for r in classes.select("f0").orderBy(F.xxhash64(*_PRINTS)).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    grove = [grown(np.random.default_rng(k).permutation(sample), leaf / max(total, 1)) if len(sample) else 0 for k in range(trees)]
-    shared = spark.sparkContext.broadcast(grove)
+    common = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(told, "token long").groupBy("token").count()
+    common = common.where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    keys = np.asarray(common.column("token")).view(np.uint64)
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], len(keys) - order))
 
-    def ask(batches):
+    def rows(batches):
+        for b in slices(batches, "text", TEXT_BYTES):
+            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            digest = np.array([np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64) for h in sets]).reshape(-1, 2)
+            first = [prefix(h, similarity, *shared.value) if len(h) else h for h in sets]
+            flags = [int(np.bitwise_xor.reduce(np.uint64(1) << (h >> np.uint64(58)))) if len(h) else 0 for h in sets]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.array([len(h) for h in sets], np.int64)), pa.array(np.array(flags, np.uint64).view(np.int64)), tokens], ["doc_id", "d0", "d1", "size", "bits", "tokens"])
+
+    prints, _ = written(texts.mapInArrow(rows, "doc_id long, d0 long, d1 long, size long, bits long, tokens array<long>"), "prefixes")
+    classes = checkpointed(prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("node")))
+    own = prints.join(classes.withColumnRenamed("node", "doc_id"), ["d0", "d1", "doc_id"], "left_semi")
+    postings, _ = written(own.select(F.col("doc_id").alias("node"), "size", "bits", F.posexplode("tokens").alias("place", "token")).select("token", "node", "size", F.col("place").cast("long").alias("place"), "bits"), "postings")
+    many = postings.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place", "bits")).alias("hub"))
+    many, _ = written(many.where(F.col("n") > min(FEW, leaf)), "many")
+    buckets = max(1, -(-postings.count() // BUCKET))
+    dealt = joined_small(postings, many, ["token"])
+    few = dealt.where("n is null").select("token", "node", "size", "place", "bits", F.col("node").alias("root"), F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
+    pairs = few.groupBy("bucket").applyInArrow(lambda t: paired(t, similarity), "a long, b long")
+
+    def starred(batches):
         for b in batches:
-            if not len(b):
-                continue
-            fp = np.asarray(b.column("f0")).view(np.uint64)
-            every = np.arange(len(fp))
-            found = [(k, leaf, role, at) for k, tree in enumerate(shared.value) for role, reach in ((0, 0), (1, slack)) for leaf, at in reached(tree, fp, every, reach)]
-            size = [len(f[3]) for f in found]
-            keys = [pa.array(np.repeat(np.array([f[k] for f in found], np.int32), size)) for k in range(3)]
-            at = pa.array(np.concatenate([f[3] for f in found]))
-            yield pa.RecordBatch.from_arrays([*keys, *(b.column(c).take(at) for c in ("node", *_PRINTS))], ["tree", "leaf", "role", "node", *_PRINTS])
-
-    asked, _ = written(classes.mapInArrow(ask, f"tree int, leaf int, role int, node long, {columns}"), "asked")
-    most = widest(similarity)
-
-    def forest(table: pa.Table) -> pa.Table:
-        role, node = np.asarray(table.column("role")), np.asarray(table.column("node"))
-        fp = np.stack([np.asarray(table.column(c)).view(np.uint64) for c in _PRINTS])
-        names, at = np.unique(node, return_inverse=True)
-        label = np.arange(len(names))
-        p, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        for i in range(0, len(p), 1024):
-            for j in range(0, len(q), 1024):
-                a, b = p[i : i + 1024], q[j : j + 1024]
-                x, y = np.nonzero(np.bitwise_count(fp[0, a][:, None] ^ fp[0, b]) <= most // 2)
-                x, y = a[x], b[y]
-                near = np.bitwise_count(fp[:, x] ^ fp[:, y]).sum(axis=0, dtype=np.int64) <= most
-                local_union(label, at[x[near]], at[y[near]])
-        child = np.flatnonzero(label != np.arange(len(names)))
-        return pa.table({"a": names[label[child]], "b": names[child]})
-
-    found = _tiled(asked, ["tree", "leaf"], "node").select("tree", "leaf", "p", "q", "role", "node", *_PRINTS).groupBy("tree", "leaf", "p", "q").applyInArrow(forest, "a long, b long")
-    table = classes.join(components(found), "node", "left").select(*_PRINTS, F.coalesce("root", "node").alias("component_id"))
-    return prints.join(table, _PRINTS, "left").select("doc_id", "component_id")
+            t = pa.Table.from_batches([b])
+            hub = t.select(["h_node", "h_size", "h_place", "h_bits"]).rename_columns(["node", "size", "place", "bits"])
+            at = np.arange(len(t))
+            at = at[possible(t, at, hub, at, similarity)]
+            yield pa.RecordBatch.from_arrays([hub.column("node").combine_chunks().take(pa.array(at)), t.column("node").combine_chunks().take(pa.array(at))], ["a", "b"])
+
+    hot = dealt.where("n is not null")
+    stars = hot.select("node", "size", "place", "bits", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", "size", "place", "bits"))).mapInArrow(starred, "a long, b long")
+    found = verified(pairs.union(stars).distinct(), texts, words, similarity)
+    root = components(found)
+    if many.limit(1).count():
+        rooted = hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a token whose postings are all of one component is done
+        open_ = checkpointed(rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token", F.lit(True).alias("open")))
+        blocks = F.ceil(F.col("n") / leaf).cast("int")
+        tiled = joined_small(rooted, open_, ["token"]).where("open").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        tiled = tiled.select("token", "node", "size", "place", "bits", "root", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("n") > leaf, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets))).alias("bucket"))
+        rest = tiled.groupBy("bucket", "p", "q").applyInArrow(lambda t: paired(t, similarity), "a long, b long").distinct()
+        root = components(found.union(verified(rest, texts, words, similarity)))
+    table = classes.join(root, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("component_id"))
+    grouped_ = prints.join(table, ["d0", "d1"]).select("doc_id", "component_id")
+    return grouped_.union(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
 def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:

@@ -290,6 +290,21 @@ def test_op8_near_copies(spark):
     assert simhash.near_clusters(df.limit(0)).count() == 0
 
 
+def test_pipeline_near_copies_are_decided_by_their_shingles(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(n)]
+    docs = []
+    for _ in range(100):  # 404 words are 400 shingles; 44 new ones at the end leave 356 of 444: a Jaccard similarity of 0.802
+        text = fresh(404)
+        docs += [text, text[:-44] + fresh(44)]
+    line = fresh(12)
+    docs += [line * 20 + fresh(200) for _ in range(10)]  # one repeated line beside words of their own: about 0.03
+    docs = [*map(" ".join, docs)]
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(200)] == [k - k % 2 for k in range(200)]
+    assert [got[k] for k in range(200, 210)] == list(range(200, 210))
+
+
 def test_op9(spark, odd):
     found = queries.op9_quality_classifier(spark, DATA)
     truth = spark.read.parquet(f"{DATA}/labels.parquet")
