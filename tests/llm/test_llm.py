@@ -305,6 +305,27 @@ def test_pipeline_near_copies_are_decided_by_their_shingles(spark):
     assert [got[k] for k in range(200, 210)] == list(range(200, 210))
 
 
+def test_pipeline_near_copies_equal_all_pairs(spark):
+    """Shingles of many postings, chains and deep cuts into blocks: the groups of all pairs by brute force."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(n)]
+    passage, docs = fresh(90), []
+    for k in range(50):  # a passage that all share, and 10 to 59 words of their own
+        docs.append(passage + fresh(10 + k))
+    for _ in range(300):
+        text = list(docs[rng.integers(0, len(docs))])
+        for at in rng.choice(len(text), rng.integers(1, 4), replace=False):
+            text[at : at + 1] = fresh(1)
+        docs.append(text)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = np.arange(len(docs))
+    local_union(label, *np.array(near).T)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df, leaf=16).collect()}
+    assert len(set(label.tolist())) > 10 and [got[k] for k in range(len(docs))] == label.tolist()
+
+
 def test_op9(spark, odd):
     found = queries.op9_quality_classifier(spark, DATA)
     truth = spark.read.parquet(f"{DATA}/labels.parquet")
