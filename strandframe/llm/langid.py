@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from .util import slices, written
 
 ORDER, TEXT_BYTES = 4, 2 << 20
-#: A language's model keeps at most so many n-grams, its most frequent ones: the count below which n-grams go follows from
-#: their histogram. Counts themselves are of all training texts.
-MODEL_GRAMS = 150_000
 SPACE = 0x20
 #: Factors of the cross-entropy among which calibration chooses, and the share of its own texts that a language accepts.
 SHARPNESS, ACCEPTED = [0.25 * 1.5**k for k in range(16)], 0.999
@@ -185,22 +182,12 @@ def fitted(docs: DataFrame, training: Column, calibration: Column) -> Models:
     spark = docs.sparkSession
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & training)
     counts, _ = written(counted(known.where(~F.coalesce(calibration, F.lit(False)))), "grams")
-    # the least count that keeps a model within MODEL_GRAMS: from each language's number of grams by (capped) count
-    histogram = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("grams")).collect()
-    least = {}
-    for lang in {r.lang for r in histogram}:
-        total, least[lang] = 0, 1001
-        for r in sorted((r for r in histogram if r.lang == lang), key=lambda r: -r.n):
-            total += r.grams
-            if total > MODEL_GRAMS:
-                break
-            least[lang] = r.n
-    if not least:
-        return kneser_ney({})
-    cut = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
-    kept = counts.where(F.col("n") >= cut[F.col("lang")]).toArrow()
+    kept = counts.toArrow()
     langs, keys, n = (np.asarray(kept.column(c)) for c in ("lang", "key", "n"))
-    models = kneser_ney({lang: (keys[langs == lang].view(np.uint64), n[langs == lang]) for lang in least})
+    if not len(langs):
+        return kneser_ney({})
+    names, at = np.unique(langs.astype(str), return_inverse=True)
+    models = kneser_ney({str(x): (keys[at == k].view(np.uint64), n[at == k]) for k, x in enumerate(names)})
     shared = spark.sparkContext.broadcast(models)
 
     def rows(batches):

@@ -93,6 +93,15 @@ def test_op1(spark, odd):
     assert {r.lang_pred for r in langid.predicted(odd, none).collect()} == {"und"} and langid.predicted(odd.limit(0), models).count() == 0
 
 
+def test_op1_keeps_every_gram(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 500))) for _ in range(400)]  # about 200,000 4-grams of one language
+    texts.append(texts[0])
+    docs = spark.createDataFrame([(t, "zh") for t in texts] + [("plain text here", "en")], "text string, lang string")
+    models = langid.fitted(docs, F.lit(True), F.lit(False))
+    assert len(models.keys[langid.ORDER]) == len(np.unique(langid.grams([*texts, "plain text here"])[0])) > 190_000
+
+
 def test_op2_marginals_and_sampling(spark, odd):
     rng = np.random.default_rng(2)
     size = rng.uniform(1, 9, 24)
