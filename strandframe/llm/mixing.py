@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_ROWS, checkpointed, joined_small, written
+from .util import BROADCAST_ROWS, again, beside, checkpointed, joined_small, written
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, CLOSE = 200, 1e-9
@@ -133,19 +133,19 @@ def _fitted_apart(cells: DataFrame, targets: dict[str, dict[str, float]], share:
     return ratio.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.lit(high) * F.col("weight")).alias("probability"))
 
 
-def mixed(docs: DataFrame, share: float = 0.9, power: float = 0.7, targets: dict[str, dict[str, float]] | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with struct _mix: source, lang, topic, n_tokens, weight, probability, sampled.
+def mixed(docs: DataFrame, share: float = 0.9, power: float = 0.7, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, name: str = "_mix") -> DataFrame:
+    """``docs`` with struct ``name``: source, lang, topic, n_tokens, weight, probability, sampled.
 
-    Null sources and languages count as the empty name; rows that share a doc_id stay or go together. An empty table comes
-    back empty. ``targets``: shares of tokens by value for each dimension (without: smoothed shares).
+    Null sources and languages count as the empty name, null and empty texts as one token of prose; rows that share a doc_id
+    stay or go together, and so do those without one. Repeated rows count each. More columns stay as they are, whatever
+    their names (but ``name``, which is replaced). An empty table comes back empty. ``targets``: shares of tokens by value
+    for each dimension (without: smoothed shares).
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    mine = docs.withColumn("_source", name("source")).withColumn("_lang", name("lang")).withColumn("_topic", topic(F.col("text"))).withColumn("_n", tokens(F.col("text")))
-    cells, _ = written(mine.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_n").alias("size")), "cells")
+    kept = [c for c in docs.columns if c != name]
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    mine = beside(docs, source=of("source"), lang=of("lang"), topic=topic(F.col("text")), n_tokens=tokens(F.col("text")), doc_id=F.col("doc_id"))
+    cells, _ = written(mine.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("size")), "cells")
     wanted = _targets(cells, power) | (targets or {})
-    found = probabilities(cells, wanted, share)
-    table = found.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_w"), F.col("probability").alias("_pr"))
-    rows = joined_small(mine, table, [f"_{d}" for d in DIMENSIONS])
+    rows = joined_small(mine, probabilities(cells, wanted, share), list(DIMENSIONS))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    fields = [F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("_w").alias("weight"), F.col("_pr").alias("probability"), (chance < F.col("_pr")).alias("sampled")]
-    return rows.select(*docs.columns, F.struct(*fields).alias("_mix"))
+    return rows.select(*again(kept), F.struct(*DIMENSIONS, "n_tokens", "weight", "probability", (chance < F.col("probability")).alias("sampled")).alias(name))

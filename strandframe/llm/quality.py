@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import joined_small
+from .util import again, beside, checkpointed, joined_small
 
 #: The regression is fitted on at most so many labelled rows, those with the least hash of the id, of at most so many characters.
 SAMPLE, SAMPLE_CHARS = 16_384, 65_536
@@ -106,9 +106,9 @@ def sites(rows: DataFrame) -> tuple[DataFrame, float]:
 
     Pseudo-documents of a level: mean variance of a document over the variance between groups beyond what the groups'
     sizes explain (at least 1, at most 10,000). Sums are pre-aggregated, so a host with a third of all rows is two numbers
-    from each task.
+    from each task; they are written, so that the rows are read once.
     """
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"))
+    paths = checkpointed(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
 
     def pseudo(groups: DataFrame, centre: Column) -> float:
@@ -124,21 +124,39 @@ def sites(rows: DataFrame) -> tuple[DataFrame, float]:
     centre = total.s / total.n if total.n else 0.5
     m = pseudo(hosts, F.lit(centre))
     hosts = hosts.select("host", ((F.col("s") + m * centre) / (F.col("n") + m)).alias("host_posterior"))
-    both = paths.join(hosts, "host")
+    both = joined_small(paths, hosts, ["host"])
     k = pseudo(both, F.col("host_posterior"))
-    return both.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), centre
+    return checkpointed(both.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))), centre
 
 
-def classified(docs: DataFrame, model: Evidence, host: Column, path: Column) -> DataFrame:
-    """``docs`` with struct _quality: host, path, evidence, host_posterior, path_posterior, posterior, kept.
+def rated(docs: DataFrame, model: Evidence, host: Column, path: Column, name: str = "_quality") -> DataFrame:
+    """``docs`` with struct ``name``: host, path and evidence of each text; one pass. Null hosts and paths count as the empty
+    name, null texts as empty ones."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return docs.withColumn(name, F.struct(text(host).alias("host"), text(path).alias("path"), evidence(model, F.col("text")).alias("evidence")))
 
-    Null hosts and paths count as the empty name. An empty table comes back empty.
+
+def judged(rows: DataFrame, name: str = "_quality") -> DataFrame:
+    """``rated`` rows with struct ``name``: host, path, evidence, host_posterior, path_posterior, posterior, kept.
+
+    ``rows`` are read twice: for the sums of each site, and for the verdicts.
     """
-    mine = docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit(""))).withColumn("_path", F.coalesce(path.cast("string"), F.lit(""))).withColumn("_p", evidence(model, F.col("text")))
-    table, centre = sites(mine.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p")))
-    named = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("host_posterior").alias("_hp"), F.col("path_posterior").alias("_pp"))
-    rows = joined_small(mine, named, ["_host", "_path"])
-    odds = logit(F.col("_p")) + logit(F.col("_pp")) - logit(F.lit(centre))
+    kept = [c for c in rows.columns if c != name]
+    table, centre = sites(rows.select(f"{name}.host", f"{name}.path", F.col(f"{name}.evidence").alias("p")))
+    named = table.select(F.struct("host", "path").alias("key"), F.struct("host_posterior", "path_posterior").alias("site"))
+    mine = beside(rows, key=F.struct(f"{name}.host", f"{name}.path"), p=F.col(f"{name}.evidence"))
+    both = joined_small(mine, named, ["key"])
+    odds = logit(F.col("p")) + logit(F.col("site.path_posterior")) - logit(F.lit(centre))
     posterior = 1 / (1 + F.exp(-odds))
-    fields = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("evidence"), F.col("_hp").alias("host_posterior"), F.col("_pp").alias("path_posterior"), posterior.alias("posterior"), (posterior >= LEAST).alias("kept")]
-    return rows.select(*docs.columns, F.struct(*fields).alias("_quality"))
+    fields = [F.col("key.host").alias("host"), F.col("key.path").alias("path"), F.col("p").alias("evidence"), F.col("site.host_posterior").alias("host_posterior"), F.col("site.path_posterior").alias("path_posterior"), posterior.alias("posterior"), (posterior >= LEAST).alias("kept")]
+    return both.select(*again(kept), F.struct(*fields).alias(name))
+
+
+def classified(docs: DataFrame, model: Evidence, host: Column, path: Column, name: str = "_quality") -> DataFrame:
+    """``docs`` with struct ``name``: host, path, evidence, host_posterior, path_posterior, posterior, kept.
+
+    Null hosts and paths count as the empty name, null and empty texts have the evidence of a text without words. Repeated
+    rows have the same verdict and each its weight in the sums. More columns stay as they are, whatever their names (but
+    ``name``, which is replaced). An empty table comes back empty.
+    """
+    return judged(rated(docs, model, host, path, name), name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fertility, langid, mixing, neighbours, packing, quality, secrets, simhash, token_output, toxicity
-from .util import fold
+from .util import fold, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +67,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    found = quality.classified(docs.select("doc_id", "text", "lang", "source"), model, host=F.col("source"), path=F.col("lang"))
-    return found.select("doc_id", "_quality.*")
+    rows = quality.rated(docs.select("doc_id", "text", "lang", "source"), model, host=F.col("source"), path=F.col("lang"))
+    return quality.judged(written(rows.select("doc_id", "_quality"), "evidence")[0]).select("doc_id", "_quality.*")  # texts are read once
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .util import checkpointed, joined_small, local_union, slices, written
+from .util import BROADCAST_ROWS, checkpointed, dropped, joined_hot, joined_small, local_union, slices, written
 
 TEXT_BYTES = 4 << 20
 #: Fingerprints that the top of the tree is grown from, and that a leaf of it should hold; fingerprints in one block of a task.
@@ -168,9 +168,10 @@ def links(classes: DataFrame, within: int = 2) -> DataFrame:
     return tiles.select("leaf", "p", "q", "role", "fp").groupBy("leaf", "p", "q").applyInArrow(forest, "a long, b long")
 
 
-#: A shingle that at most so many texts have in their prefixes is compared all against all where it lies; texts of the sample
-#: that tells common shingles, how many of these are kept, and postings of a bucket.
-FEW, TOLD, COMMON, BUCKET = 32, 1 << 13, 1 << 16, 200_000
+#: Texts of the sample that tells common shingles, how many of these are kept, postings of a bucket, and postings of a block of a
+#: shingle that many texts have; shingles of more than FEW texts are tried against one text at a time, STARS times at most,
+#: before all their pairs are.
+TOLD, COMMON, BUCKET, POSTINGS, FEW, STARS = 1 << 14, 1 << 16, 200_000, 1 << 12, 64, 4
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -188,29 +189,42 @@ def prefix(h: np.ndarray, similarity: float, keys: np.ndarray, ranks: np.ndarray
     return h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
 
 
-def possible(a: pa.Table, x: np.ndarray, b: pa.Table, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the postings x of ``a`` and y of ``b``, of one shingle each, can belong to similar sets that have no shingle
-    before it in common: by their sizes, by what comes after it, and by the shingles that differ (parities of 64 classes)."""
-    one, two = ({n: np.asarray(t.column(n))[k] for n in ("node", "size", "place", "bits")} for t, k in ((a, x), (b, y)))
-    both = one["size"] + two["size"]
-    fits = np.minimum(one["size"], two["size"]) >= similarity * np.maximum(one["size"], two["size"]) - 1e-9
-    fits &= np.minimum(one["size"] - one["place"], two["size"] - two["place"]) >= similarity / (1 + similarity) * both - 1e-9
-    fits &= np.bitwise_count(one["bits"].view(np.uint64) ^ two["bits"].view(np.uint64)) <= (1 - similarity) / (1 + similarity) * both + 1e-9
-    return fits & (one["node"] != two["node"])
+def parities(h: np.ndarray) -> bytes:
+    """For each of 2^k classes of hashes (about one class a hash, 64 at least): whether the set has an odd number of them."""
+    m = 1 << max(6, int(len(h) - 1).bit_length() if len(h) else 0)
+    odd = (np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def alike(n: int, a: bytes, m: int, b: bytes, similarity: float) -> bool:
+    """Whether sets of n and m hashes with these parities can have this Jaccard similarity: each class whose parities differ
+    has a hash that only one of them has."""
+    if min(n, m) < similarity * max(n, m) - 1e-9:
+        return False
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), 8 * len(a)
+    while size > 8 * len(b):  # the classes of the shorter one: halves laid upon one another
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count() <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9
 
 
 def paired(table: pa.Table, similarity: float) -> pa.Table:
-    """(a, b): possible pairs of the postings of each token, but those whose ``root`` is one."""
+    """(a, b): pairs of each token's postings, but those whose ``root`` is one and those that can't be similar by their sizes
+    or by what comes after the token (the shingles before it are taken as different)."""
     table = table.take(pa.array(np.argsort(np.asarray(table.column("token")), kind="stable")))
-    token, root, node = (np.asarray(table.column(c)) for c in ("token", "root", "node"))
+    token, root, node, size, place = (np.asarray(table.column(c)) for c in ("token", "root", "node", "size", "place"))
     left, found, step, held = np.arange(len(token)), [np.zeros((0, 2), np.int64)], 1, 0
     while len(left):
         left = left[left + step < len(token)]
         left = left[token[left] == token[left + step]]
-        apart = left[root[left] != root[left + step]]
-        apart = apart[possible(table, apart, table, apart + step, similarity)]
-        found.append(np.sort(np.stack([node[apart], node[apart + step]], axis=1), axis=1))
-        held += len(apart)
+        x = left[root[left] != root[left + step]]
+        y = x + step
+        fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+        fits &= np.minimum(size[x] - place[x], size[y] - place[y]) >= similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9
+        found.append(np.sort(np.stack([node[x[fits]], node[y[fits]]], axis=1), axis=1))
+        held += int(fits.sum())
         if held > 1 << 20:
             found = [np.unique(np.concatenate(found), axis=0)]
             held = 0
@@ -219,9 +233,26 @@ def paired(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of doc_ids whose texts' shingle sets are similar."""
-    known = lambda k: docs.select(F.col("doc_id").cast("long").alias(k), F.col("text").alias(f"{k}_text"))
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, str]:
+    """Those of the ``pairs`` (a, b) of doc_ids whose texts' shingle sets are similar, as a written table, and its path.
+
+    ``sets`` (node, size, parities) leaves few pairs that are not; only the texts of those left are moved, and all of them
+    decide on whole texts.
+    """
+
+    def likely(batches):
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("a_size", "a_parities", "b_size", "b_parities")]
+            near = [alike(*row, similarity) for row in zip(*columns, strict=True)]
+            yield b.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    of = lambda k: sets.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("parities").alias(f"{k}_parities"))
+    pairs, tried = written(pairs, "pairs")
+    if not pairs.limit(1).count():
+        return pairs, tried
+    left, path = written(joined_hot(joined_hot(pairs, of("b"), ["b"], "inner"), of("a"), ["a"], "inner").mapInArrow(likely, "a long, b long"), "likely")
+    asked = checkpointed(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    known = joined_small(docs, asked, ["doc_id"], "left_semi")
 
     def rows(batches):
         kept = lru_cache(64)(lambda text: shingle_set(text, words))
@@ -233,18 +264,24 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
                 near[k] = common >= similarity * (len(x) + len(y) - common) - 1e-9
             yield batch.filter(pa.array(near)).select(["a", "b"])
 
-    return written(pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(rows, "a long, b long"), "links")[0]
+    text = lambda k: known.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text"))
+    both = joined_hot(joined_hot(left, text("b"), ["b"], "inner"), text("a"), ["a"], "inner")
+    links = written(both.select("a", "b", "a_text", "b_text").mapInArrow(rows, "a long, b long"), "links")
+    dropped(docs.sparkSession, tried, path)
+    return links
 
 
-def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf: int = LEAF) -> DataFrame:
+def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = POSTINGS) -> DataFrame:
     """(doc_id, component_id) of every document: groups of texts that chains of pairs join whose shingle sets have at least
     this Jaccard similarity, all of them.
 
     Fingerprints only tell whether two texts are close on average, so none decides here. In one order of all shingles two
-    such sets have one in common among the first of each (``prefix``): candidates are the pairs of each shingle's postings
-    that the sizes, places and parities leave possible, and every one is decided on its texts. The order puts shingles that
-    are common in a sample last, which only saves work. A shingle of many postings is first tried against the smallest node
-    that has it; then its postings of different components are compared, in blocks of ``leaf``. Equal sets are one class.
+    such sets have one in common among the first of each (``prefix``), so candidates share a shingle there. The order puts
+    shingles that are common in a sample last, which only saves work. A shingle's texts are first compared with one of them;
+    while they are of several components, with one of another; then, in blocks, all pairs of different components are. So a
+    group of near copies makes links in proportion to its texts, and no pair is left out. Every candidate is decided on
+    whole texts. Equal sets are one class. Null and empty texts have the empty set and are one class; rows with a null
+    doc_id have a null component; rows that share a doc_id are one node; empty input: no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -255,56 +292,60 @@ def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in b.column("text").to_pylist()]).view(np.int64))], ["token"])
 
     common = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(told, "token long").groupBy("token").count()
-    common = common.where("count >= 4").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    common = common.where("count >= 3").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
     keys = np.asarray(common.column("token")).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], len(keys) - order))
+    shared_order = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # at most COMMON
 
     def rows(batches):
         for b in slices(batches, "text", TEXT_BYTES):
             sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             digest = np.array([np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64) for h in sets]).reshape(-1, 2)
-            first = [prefix(h, similarity, *shared.value) if len(h) else h for h in sets]
-            flags = [int(np.bitwise_xor.reduce(np.uint64(1) << (h >> np.uint64(58)))) if len(h) else 0 for h in sets]
+            first = [prefix(h, similarity, *shared_order.value) if len(h) else h for h in sets]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.array([len(h) for h in sets], np.int64)), pa.array(np.array(flags, np.uint64).view(np.int64)), tokens], ["doc_id", "d0", "d1", "size", "bits", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.array([len(h) for h in sets], np.int64)), pa.array([parities(h) for h in sets], pa.binary()), tokens], ["doc_id", "d0", "d1", "size", "parities", "tokens"])
 
-    prints, _ = written(texts.mapInArrow(rows, "doc_id long, d0 long, d1 long, size long, bits long, tokens array<long>"), "prefixes")
+    prints, prints_at = written(texts.mapInArrow(rows, "doc_id long, d0 long, d1 long, size long, parities binary, tokens array<long>"), "prefixes")
     classes = checkpointed(prints.groupBy("d0", "d1").agg(F.min("doc_id").alias("node")))
-    own = prints.join(classes.withColumnRenamed("node", "doc_id"), ["d0", "d1", "doc_id"], "left_semi")
-    postings, _ = written(own.select(F.col("doc_id").alias("node"), "size", "bits", F.posexplode("tokens").alias("place", "token")).select("token", "node", "size", F.col("place").cast("long").alias("place"), "bits"), "postings")
-    many = postings.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "place", "bits")).alias("hub"))
-    many, _ = written(many.where(F.col("n") > min(FEW, leaf)), "many")
-    buckets = max(1, -(-postings.count() // BUCKET))
-    dealt = joined_small(postings, many, ["token"])
-    few = dealt.where("n is null").select("token", "node", "size", "place", "bits", F.col("node").alias("root"), F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
-    pairs = few.groupBy("bucket").applyInArrow(lambda t: paired(t, similarity), "a long, b long")
-
-    def starred(batches):
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            hub = t.select(["h_node", "h_size", "h_place", "h_bits"]).rename_columns(["node", "size", "place", "bits"])
-            at = np.arange(len(t))
-            at = at[possible(t, at, hub, at, similarity)]
-            yield pa.RecordBatch.from_arrays([hub.column("node").combine_chunks().take(pa.array(at)), t.column("node").combine_chunks().take(pa.array(at))], ["a", "b"])
-
-    hot = dealt.where("n is not null")
-    stars = hot.select("node", "size", "place", "bits", *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", "size", "place", "bits"))).mapInArrow(starred, "a long, b long")
-    found = verified(pairs.union(stars).distinct(), texts, words, similarity)
+    named, _ = written(joined_small(prints.select("doc_id", "d0", "d1"), classes, ["d0", "d1"], "inner"), "named")
+    # one row of each class: the others are found by their ids
+    copies = named.where("doc_id <> node").select("doc_id", "d0", "d1").distinct()
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = prints.join(F.broadcast(copies) if few else copies, ["doc_id", "d0", "d1"], "left_anti")
+    tokens = own.select(F.col("doc_id").alias("node"), "size", F.posexplode("tokens").alias("place", "token"))
+    shared, shared_at = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "shared")
+    postings, postings_at = written(joined_small(tokens, shared, ["token"], "inner").select("token", "node", "size", F.col("place").cast("long").alias("place"), "hub", "n"), "postings")
+    sets, sets_at = written(own.select(F.col("doc_id").alias("node"), "size", "parities"), "sets")
+    links, at = verified(postings.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, texts, words, similarity)
+    found, paths = links, [at]
     root = components(found)
-    if many.limit(1).count():
-        rooted = hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for turn in range(STARS + 1):
+        rooted = joined_small(postings.drop("hub"), root, ["node"]).withColumn("root", F.coalesce("root", "node"))
         # a token whose postings are all of one component is done
-        open_ = checkpointed(rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token", F.lit(True).alias("open")))
-        blocks = F.ceil(F.col("n") / leaf).cast("int")
-        tiled = joined_small(rooted, open_, ["token"]).where("open").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        tiled = tiled.select("token", "node", "size", "place", "bits", "root", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("n") > leaf, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets))).alias("bucket"))
-        rest = tiled.groupBy("bucket", "p", "q").applyInArrow(lambda t: paired(t, similarity), "a long, b long").distinct()
-        root = components(found.union(verified(rest, texts, words, similarity)))
-    table = classes.join(root, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("component_id"))
-    grouped_ = prints.join(table, ["d0", "d1"]).select("doc_id", "component_id")
-    return grouped_.union(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))
+        open_ = rooted.groupBy("token").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("node", "root").alias("hub")).where("least < most")
+        open_ = checkpointed(open_)
+        large = open_.where(F.col("n") > min(FEW, block))
+        last = turn == STARS or not large.limit(1).count()
+        rest = joined_small(rooted, (open_ if last else large).drop("n"), ["token"], "inner")
+        if last:
+            buckets = max(1, -(-rest.count() // BUCKET))
+            blocks = F.ceil(F.col("n") / block).cast("int")
+            tiled = rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            bucket = F.when(F.col("n") > block, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets)))
+            tiled = tiled.select("token", "node", "size", "place", "root", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), bucket.alias("bucket"))
+            pairs = tiled.groupBy("bucket", "p", "q").applyInArrow(lambda t: paired(t, similarity), "a long, b long").distinct()
+        else:
+            pairs = rest.where("root <> most").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        links, at = verified(pairs, sets, texts, words, similarity)
+        paths.append(at)
+        found = found.union(links)
+        root = components(found)
+        if last:
+            break
+    dropped(spark, prints_at, shared_at, postings_at, sets_at, *paths)
+    table = joined_small(named.select("doc_id", "node"), root, ["node"]).select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    return table.union(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
 def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:
@@ -320,7 +361,7 @@ def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:
 def grouped(prints: DataFrame, within: int = 2) -> DataFrame:
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(classes, within))
-    rooted = classes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = joined_small(classes, root.withColumnRenamed("node", "fp"), ["fp"]).select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = checkpointed(joined_small(rooted, least, ["root"]).select("fp", "component_id"))
+    return joined_small(prints, table, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,15 +8,13 @@ Spark's writer commits, so they can lie in any store that Spark writes, and a lo
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteBpe
-from .util import dropped, freed, shared_dir, slices, tasks, written
+from .util import dropped, freed, scratch, slices, tasks, written
 
 #: Text bytes that are tokenised at a time, and ids in a block (one longer document makes a longer block).
 TEXT_BYTES, BLOCK_IDS = 12 << 20, 1 << 20
@@ -146,11 +144,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> np.nd
     """Tokenise ``docs`` (doc_id, text; more columns are ignored), write the blocks as a table at ``path``, and return
     the ids by rank. Documents stand in ascending doc_id order (null ids first; equal ids: by text)."""
     spark = docs.sparkSession
-    tokens, scratch = written(tokenised(docs, tokenizer, end), "ids")
+    tokens, ids_at = written(tokenised(docs, tokenizer, end), "ids")
     freed(spark)
     order = ranked_ids(tokens)
     encoded(tokens, order).write.option("compression", "zstd").parquet(path)
-    dropped(spark, scratch)
+    dropped(spark, ids_at)
     return order
 
 
@@ -177,6 +175,6 @@ def read_ids(spark: SparkSession, path: str, order: np.ndarray) -> DataFrame:
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` to the shared folder, read the files back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tables/blocks-{uuid.uuid4().hex}"
+    path = scratch(spark, "blocks")
     back = read_ids(spark, path, write_ids(docs, path, tokenizer))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,34 +18,50 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local
+    mode (as in tests); on a cluster executors would write where nobody else reads, so it is an error there."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="strandframe-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a table in this application's part of the shared folder, which goes when the application ends."""
+    at = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    folder, fs = _hadoop(spark, at)
+    fs.deleteOnExit(folder)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table to the shared folder and read it again; returns the table and its path.
 
     This cuts the lineage: a lost executor costs the tasks that read its part, never the work behind the table.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table of ``written`` that nothing reads any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for path in paths:
+        at, fs = _hadoop(spark, path)
+        fs.delete(at, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; Spark's cleaner removes it with its DataFrame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a written table, for small steps: one job (Spark's own checkpoint computes twice) and known sizes."""
+    return written(df, "step")[0]
 
 
 def freed(spark: SparkSession) -> None:
@@ -79,16 +96,44 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             at = to
 
 
-def joined_small(df: DataFrame, table: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Left join of ``df`` with a table that has one row for each key.
+def beside(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` as one struct column ``row``, with ``columns`` beside it: no name of df's can clash with theirs."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
 
-    The table is counted first: up to BROADCAST_ROWS rows it is broadcast; beyond that its rows are repeated once for each
-    salt and ``df`` is dealt out by key and salt, so that a key with a third of all rows is spread over ``salts`` tasks.
+def again(names: list[str]) -> list[Column]:
+    """The columns ``names`` of what ``beside`` made."""
+    return [F.col("row")[c].alias(c) for c in names]
+
+
+def joined_small(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join of ``df`` with a table that has one row for each key.
+
+    The table is counted first: up to BROADCAST_ROWS rows it is broadcast, beyond that the join is ``joined_hot``.
     """
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table), keys, "left")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+        return df.join(F.broadcast(table), keys, how)
+    return joined_hot(df, table, keys, how)
+
+
+def joined_hot(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", salts: int = 64) -> DataFrame:
+    """Shuffled join of ``df`` with a table that has one row for each key, where some keys may hold a third of df's rows.
+
+    Keys with more than 1 / (4 x tasks) of the rows (so fewer than 4 x tasks keys, which may be broadcast) are dealt out by
+    a salt, and the table's rows of these keys, no others, are repeated once for each salt.
+    """
+    taken = {*df.columns, *table.columns}
+    hot_, salt = (next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in ("hot_", "salt_"))
+    total = df.count()
+    if total <= BROADCAST_ROWS:
+        return df.join(table, keys, how)
+    hot = checkpointed(df.groupBy(*keys).count().where(F.col("count") > total / (4 * tasks(df.sparkSession))).select(*keys, F.lit(True).alias(hot_)))
+    if not hot.limit(1).count():
+        return df.join(table, keys, how)
+    is_hot = F.col(hot_).isNotNull()
+    left = df.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)).drop(hot_)
+    right = table.join(F.broadcast(hot), keys, "left").withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(hot_)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def local_union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -293,7 +293,7 @@ def test_op8_near_copies(spark):
             docs.append((len(docs), " ".join(changed)))
             family.append(4 * k)
     df = spark.createDataFrame([*docs, (None, "x"), (10_000, None)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df, leaf=32).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df, block=32).collect()}
     right = sum(got[k] == f for k, f in enumerate(family))
     assert right >= 0.97 * len(family) and all(got[k] // 4 == k // 4 for k in range(len(family)))
     assert simhash.near_clusters(df.limit(0)).count() == 0
@@ -331,7 +331,7 @@ def test_pipeline_near_copies_equal_all_pairs(spark):
     label = np.arange(len(docs))
     local_union(label, *np.array(near).T)
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df, leaf=16).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_clusters(df, block=16).collect()}
     assert len(set(label.tolist())) > 10 and [got[k] for k in range(len(docs))] == label.tolist()
 
 
