@@ -2,24 +2,28 @@
 
 A text is read as its letters and marks in lower case, with one space for anything else. The key of a character n-gram is
 its code points in 16 bits each (code points beyond are hashed into the private area), so a suffix or a context is a shift
-or a mask. For each order, the grams that any language has stand in one sorted array beside a column of log-probabilities
-for each language: one binary search serves all languages.
+or a mask. Counts, discounts, back-off weights and probabilities are DataFrames over all n-grams of all training texts; none
+is dropped. Up to MODEL_ROWS rows (counted first) a model becomes sorted arrays for each order, n-grams of all languages in
+one, and is broadcast: one binary search serves all languages. A larger one stays a table: the n-grams of the texts are
+joined with it, and the cross-entropies are the same.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import slices, written
+from .util import checkpointed, joined_hot, slices
 
 ORDER, TEXT_BYTES = 4, 2 << 20
+#: Rows of a model (18 bytes each) that may be collected and broadcast.
+MODEL_ROWS = 4_000_000
 SPACE = 0x20
 #: Factors of the cross-entropy among which calibration chooses, and the share of its own texts that a language accepts.
 SHARPNESS, ACCEPTED = [0.25 * 1.5**k for k in range(16)], 0.999
@@ -92,117 +96,179 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Models:
-    """Sorted keys by order, log-probabilities (a column for each language), sorted contexts and their back-off logs."""
+class Arrays:
+    """For each order: sorted keys, language numbers and log-probabilities of n-grams; and the same of contexts, whose values
+    are the logs of the weight that the order below has after them."""
 
     langs: list[str]
-    keys: dict[int, np.ndarray]
-    logs: dict[int, np.ndarray]
-    contexts: dict[int, np.ndarray]
-    backs: dict[int, np.ndarray]
-    sharpness: float = 10.0
-    limits: dict[str, float] | None = None
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def _held(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language number, value) of the entries of all ``keys``."""
+        mine, lang, value = table
+        low, high = np.searchsorted(mine, keys), np.searchsorted(mine, keys, side="right")
+        n = high - low
+        row = np.repeat(np.arange(len(keys)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+        return row, lang[at], value[at]
 
     def log_p(self, order: int, keys: np.ndarray) -> np.ndarray:
         """Log-probability of each gram's last symbol after those before it, for each language."""
         if order == 0:
             return np.full((len(keys), len(self.langs)), -16 * np.log(2))
-        mine, logs = self.keys[order], self.logs[order]
-        at = np.minimum(np.searchsorted(mine, keys), max(len(mine) - 1, 0))
-        hit = mine[at] == keys if len(mine) else np.zeros(len(keys), bool)
-        out = np.empty((len(keys), len(self.langs)))
-        out[hit] = logs[at[hit]]
-        rest = keys[~hit]
-        if len(rest):
-            out[~hit] = self.backed(order, rest) + self.log_p(order - 1, rest & np.uint64((1 << 16 * (order - 1)) - 1))
+        out = self.log_p(order - 1, keys & np.uint64((1 << 16 * (order - 1)) - 1))
+        row, lang, value = self._held(self.contexts[order], keys >> np.uint64(16))
+        out[row, lang] += value
+        row, lang, value = self._held(self.grams[order], keys)
+        out[row, lang] = value
         return out
 
-    def backed(self, order: int, keys: np.ndarray) -> np.ndarray:
-        """Log of the weight that the order below has after each gram's context (unknown context: 0)."""
-        mine, context = self.contexts[order], keys >> np.uint64(16)
-        if not len(mine):
-            return np.zeros((len(keys), len(self.langs)))
-        at = np.minimum(np.searchsorted(mine, context), len(mine) - 1)
-        return np.where((mine[at] == context)[:, None], self.backs[order][at], 0.0)
-
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (nats) of each text under each language, and which texts have a letter."""
         key, row, lettered = grams(texts)
         names, at = np.unique(key, return_inverse=True)
         logs = self.log_p(ORDER, names)
         n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
-        return np.stack([-np.bincount(row, logs[at, k], minlength=len(texts)) / n for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(texts), 0)), lettered
+        return np.stack([-np.bincount(row, logs[at, k], minlength=len(texts)) / n for k in range(len(self.langs))], axis=1), lettered
+
+
+@dataclass
+class Models:
+    """Languages by number, the tables (order, lang, key, value) of n-grams and contexts, and the arrays if they are few."""
+
+    langs: list[str]
+    grams: DataFrame
+    contexts: DataFrame
+    arrays: Arrays | None
+    sharpness: float = 10.0
+    limits: dict[str, float] | None = None
+
+
+def _shorter(key: Column, order: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
-def kneser_ney(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from each language's n-gram keys and counts.
+def kneser_ney(counts: DataFrame) -> Models:
+    """Models from (lang, key, n) of all n-grams of the highest order.
 
-    Below the highest order a gram's count is the number of distinct symbols before it; the discount of an order is
-    n1 / (n1 + 2 n2); what it takes goes to the order below, down to equal chances of 2^16 symbols.
+    Below it a gram's count is the number of distinct symbols before it; the discount of an order is n1 / (n1 + 2 n2) over
+    all its grams; what it takes goes to the order below, down to equal chances of 2^16 symbols.
     """
-    langs = sorted(tables)
-    own: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for lang in langs:
-        keys, n = tables[lang]
-        order = np.argsort(keys)
-        by = {ORDER: (keys[order], n[order].astype(float))}
-        for k in range(ORDER - 1, 0, -1):
-            suffix, left = np.unique(by[k + 1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
-            by[k] = (suffix, left.astype(float))
-        own[lang] = by
-    models = Models(langs, {}, {}, {}, {})
+    spark = counts.sparkSession
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    number = F.create_map(*(F.lit(x) for pair in ((name, k) for k, name in enumerate(langs)) for x in pair)) if langs else F.create_map().cast("map<string,int>")
+    by = {ORDER: counts.select(number[F.col("lang")].alias("lang"), "key", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        by[k] = by[k + 1].groupBy("lang", _shorter(F.col("key"), k).alias("key")).agg(F.count("*").alias("n"))
+    every = checkpointed(reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("order"), "lang", "key", "n") for k, t in by.items()]))
+    few = lambda n: F.sum(F.when(F.col("n") == n, 1).otherwise(0))
+    share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+    discount = every.groupBy("order", "lang").agg(few(1).alias("n1"), few(2).alias("n2")).select("order", "lang", F.least(F.greatest(share, F.lit(0.1)), F.lit(0.95)).alias("discount"))
+    discount = F.broadcast(checkpointed(discount))  # a row for each order and language
+    context = F.shiftrightunsigned("key", 16)
+    contexts = every.groupBy("order", "lang", context.alias("key")).agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(discount, ["order", "lang"])
+    contexts = checkpointed(contexts.select("order", "lang", "key", "total", (F.col("discount") * F.col("types") / F.col("total")).alias("back")))
+    lower = None
+    done = []
     for k in range(1, ORDER + 1):
-        empty = np.zeros(0, np.uint64)
-        models.keys[k] = np.unique(np.concatenate([own[x][k][0] for x in langs] or [empty]))
-        models.contexts[k] = np.unique(models.keys[k] >> np.uint64(16))
-        models.backs[k] = np.zeros((len(models.contexts[k]), len(langs)))
-        seen = np.zeros((len(models.keys[k]), len(langs)))
-        context_at = np.searchsorted(models.contexts[k], models.keys[k] >> np.uint64(16))
-        for j, lang in enumerate(langs):
-            keys, n = own[lang][k]
-            n1, n2 = int((n == 1).sum()), int((n == 2).sum())
-            discount = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
-            at = np.searchsorted(models.keys[k], keys)
-            total = np.bincount(context_at[at], n, minlength=len(models.contexts[k]))
-            types = np.bincount(context_at[at], minlength=len(models.contexts[k]))
-            known = total > 0
-            models.backs[k][known, j] = np.log(discount * types[known] / total[known])
-            seen[at, j] = (n - discount) / total[context_at[at]]
-        lower = models.log_p(k - 1, models.keys[k] & np.uint64((1 << 16 * (k - 1)) - 1))
-        models.logs[k] = np.log(seen + np.exp(models.backs[k][context_at] + lower))
-    return models
+        own = every.where(F.col("order") == k).join(discount, ["order", "lang"]).withColumn("context", context)
+        rows = own.join(contexts.where(F.col("order") == k).select("lang", F.col("key").alias("context"), "total", "back"), ["lang", "context"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(2.0**-16))
+        else:
+            rows = rows.withColumn("short", _shorter(F.col("key"), k - 1)).join(lower.select("lang", F.col("key").alias("short"), F.col("p").alias("below")), ["lang", "short"])
+        lower = checkpointed(rows.select("order", "lang", "key", ((F.col("n") - F.col("discount")) / F.col("total") + F.col("back") * F.col("below")).alias("p")))
+        done.append(lower)
+    table = reduce(DataFrame.unionByName, done).select("order", "lang", "key", F.log("p").alias("value"))
+    contexts = contexts.select("order", "lang", "key", F.log("back").alias("value"))
+    arrays = None
+    if table.count() + contexts.count() <= MODEL_ROWS:
+        arrays = Arrays(langs, _sorted(table), _sorted(contexts))
+    return Models(langs, table, contexts, arrays)
+
+
+def _sorted(table: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    got = table.select("order", F.col("lang").cast("short").alias("lang"), "key", "value").toArrow()  # at most MODEL_ROWS rows
+    order, lang, key, value = (np.asarray(got.column(c)) for c in ("order", "lang", "key", "value"))
+    key = key.view(np.uint64)
+    at = {k: np.flatnonzero(order == k) for k in range(1, ORDER + 1)}
+    at = {k: i[np.argsort(key[i], kind="stable")] for k, i in at.items()}
+    return {k: (key[i], lang[i], value[i]) for k, i in at.items()}
+
+
+def entropies(docs: DataFrame, models: Models) -> DataFrame:
+    """``docs`` (id columns and text) without the text, with h (cross-entropy by language number, null entries: none) and
+    lettered."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
+    if models.arrays is None:
+        return _joined(docs, models, kept, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(models.arrays)
 
+    def rows(batches):
+        for b in slices(batches, "text", TEXT_BYTES):
+            h, lettered = shared.value.entropies(b.column("text").to_pylist()) if shared.value.langs else (np.zeros((len(b), 0)), np.zeros(len(b), bool))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), flat, pa.array(lettered)], [*kept, "h", "lettered"])
 
-def fitted(docs: DataFrame, training: Column, calibration: Column) -> Models:
-    """Models from the rows of ``docs`` (lang, text) for which ``training`` holds; those for which ``calibration`` holds
-    too set the sharpness of the score and each language's limit of cross-entropy, and only those.
+    return docs.select(*kept, "text").mapInArrow(rows, f"{schema}, h array<double>, lettered boolean")
 
-    Rows with a null text or lang teach nothing. No such rows: no languages.
-    """
-    spark = docs.sparkSession
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & training)
-    counts, _ = written(counted(known.where(~F.coalesce(calibration, F.lit(False)))), "grams")
-    kept = counts.toArrow()
-    langs, keys, n = (np.asarray(kept.column(c)) for c in ("lang", "key", "n"))
-    if not len(langs):
-        return kneser_ney({})
-    names, at = np.unique(langs.astype(str), return_inverse=True)
-    models = kneser_ney({str(x): (keys[at == k].view(np.uint64), n[at == k]) for k, x in enumerate(names)})
-    shared = spark.sparkContext.broadcast(models)
+
+def _joined(docs: DataFrame, models: Models, kept: list[str], schema: str) -> DataFrame:
+    """``entropies`` through joins: the distinct n-grams of all texts find their log-probabilities order by order, then each
+    text's n-grams take theirs."""
 
     def rows(batches):
         for b in slices(batches, "text", TEXT_BYTES):
-            found, lettered = shared.value.entropies(b.column("text").to_pylist())
-            known = [shared.value.langs.index(x) if x in shared.value.langs else -1 for x in b.column("lang").to_pylist()]
-            true = np.array(known)
-            use = lettered & (true >= 0)
-            found, true = found[use], true[use]
-            gap = found.min(axis=1, keepdims=True) - found
-            loss = [-(s * gap - np.log(np.exp(s * gap).sum(axis=1, keepdims=True)))[np.arange(len(true)), true] for s in SHARPNESS]
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.langs[k] for k in true], pa.string()), pa.array(found[np.arange(len(true)), true]), pa.array(np.stack(loss, axis=1).tolist(), pa.list_(pa.float64()))], ["lang", "own", "loss"])
-
-    checked = known.where(calibration).select("lang", "text").mapInArrow(rows, "lang string, own double, loss array<double>")
-    found = checked.groupBy("lang").agg(F.percentile_approx("own", ACCEPTED, 10_000).alias("limit"), *(F.sum(F.col("loss")[k]).alias(f"s{k}") for k in range(len(SHARPNESS)))).collect()
+            key, row, lettered = grams(b.column("text").to_pylist())
+            order = np.lexsort((key, row))
+            new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)]) if len(order) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[order][first], minlength=len(b)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (key[order][first].view(np.int64), np.diff(np.append(first, len(order))).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *lists, pa.array(lettered)], [*kept, "keys", "times", "lettered"])
+
+    held = checkpointed(docs.select(*kept, "text").mapInArrow(rows, f"{schema}, keys array<long>, times array<long>, lettered boolean").withColumn("at", F.monotonically_increasing_id()))
+    single = held.select("at", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("at", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
+    counts = checkpointed(single.groupBy("key").agg(F.count("*").alias("count")))
+    open_ = counts.select("key", F.explode(F.lit(list(range(len(models.langs))))).alias("lang"), F.col("key").alias("short"), F.lit(0.0).alias("log"))
+    found = []
+    for k in range(ORDER, 0, -1):
+        gram = models.grams.where(F.col("order") == k).select("lang", F.col("key").alias("short"), "value")
+        tried = checkpointed(open_.join(gram, ["lang", "short"], "left"))
+        found.append(tried.where("value is not null").select("key", "lang", (F.col("log") + F.col("value")).alias("log")))
+        back = models.contexts.where(F.col("order") == k).select("lang", F.col("key").alias("context"), F.col("value").alias("back"))
+        rest = tried.where("value is null").withColumn("context", F.shiftrightunsigned("short", 16)).join(back, ["lang", "context"], "left")
+        open_ = rest.select("key", "lang", _shorter(F.col("short"), k - 1).alias("short"), (F.col("log") + F.coalesce("back", F.lit(0.0))).alias("log"))
+    found.append(open_.select("key", "lang", (F.col("log") - 16 * float(np.log(2))).alias("log")))
+    logs = checkpointed(reduce(DataFrame.unionByName, found).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "log"))), lambda x: x["log"]).alias("logs")))  # an entry for each language
+    each = joined_hot(single, logs, ["key"], "inner", counts=counts)
+    sums = each.groupBy("at").agg(F.sum("times").alias("n"), *(F.sum(F.col("times") * F.col("logs")[k]).alias(f"s{k}") for k in range(len(models.langs))))
+    h = F.array(*(F.coalesce(-F.col(f"s{k}") / F.col("n"), F.lit(0.0)) for k in range(len(models.langs)))).cast("array<double>")
+    return held.join(sums, "at", "left").select(*kept, h.alias("h"), "lettered")
+
+
+def fitted(docs: DataFrame, training: Column, calibration: Column) -> Models:
+    """Models from all rows of ``docs`` (lang, text) for which ``training`` holds.
+
+    Those for which ``calibration`` holds too, judged by models without them, set the sharpness of the score and each
+    language's limit of cross-entropy. Rows with a null text or lang teach nothing, repeated rows count each. No such rows:
+    no languages.
+    """
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & training).select(F.col("lang").cast("string").alias("lang"), "text", F.coalesce(calibration, F.lit(False)).alias("apart"))
+    rest, apart = (checkpointed(counted(known.where(c))) for c in ("not apart", "apart"))
+    models = kneser_ney(rest)
+    if models.langs:
+        number = F.create_map(*(F.lit(x) for k, name in enumerate(models.langs) for x in (name, k)))
+        seen = entropies(known.where("apart").select("lang", "text"), models).where("lettered").withColumn("true", F.try_element_at(number, F.col("lang"))).where("true is not null")
+        seen = seen.withColumn("own", F.get("h", F.col("true"))).withColumn("gap", F.transform("h", lambda v: F.array_min("h") - v))
+        spread = lambda s: F.log(F.aggregate(F.transform("gap", lambda g: F.exp(g * s)), F.lit(0.0), lambda a, v: a + v))
+        loss = [F.sum(spread(s) - (F.array_min("h") - F.col("own")) * s).alias(f"s{k}") for k, s in enumerate(SHARPNESS)]
+        found = seen.groupBy("lang").agg(F.percentile_approx("own", ACCEPTED, 10_000).alias("limit"), *loss).collect()  # a row for each language
+    else:
+        found = []
+    models = kneser_ney(checkpointed(rest.unionByName(apart).groupBy("lang", "key").agg(F.sum("n").alias("n"))))
     if found:
         models.sharpness = SHARPNESS[int(np.argmin([sum(r[f"s{k}"] for r in found) for k in range(len(SHARPNESS))]))]
     models.limits = {r.lang: r.limit for r in found}
@@ -214,21 +280,16 @@ def predicted(docs: DataFrame, models: Models) -> DataFrame:
 
     lang_pred is the language of the lowest cross-entropy (ties: the first by name), ``und`` with score 0 if the text is
     null or has no letter, or no language was learned. rejected: the cross-entropy is beyond what that language's own
-    texts have, or the score is under a half.
+    texts have, or the score is under a half. Repeated rows and rows that share a doc_id have their own; a long text is
+    read whole; more columns are ignored; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def rows(batches):
-        m = shared.value
-        for b in slices(batches, "text", TEXT_BYTES):
-            found, lettered = m.entropies(b.column("text").to_pylist())
-            if not m.langs:
-                found, lettered = np.zeros((len(b), 1)), np.zeros(len(b), bool)
-            best = found.argmin(axis=1)
-            least = found.min(axis=1)
-            score = np.where(lettered, 1 / np.exp(m.sharpness * (least[:, None] - found)).sum(axis=1), 0.0)
-            lang = [m.langs[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)]
-            limit = np.array([(m.limits or {}).get(x, np.inf) for x in lang])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(np.where(lettered, least, 0.0)), pa.array(~lettered | (least > limit) | (score < 0.5))], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    rows = entropies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), models)
+    ok = F.col("lettered") & (F.size("h") > 0)
+    least = F.array_min("h")
+    best = (F.array_position("h", least) - 1).cast("int")
+    score = 1 / F.aggregate("h", F.lit(0.0), lambda a, v: a + F.exp((least - v) * models.sharpness))
+    names = F.lit(models.langs or ["und"])
+    limits = F.array(*(F.lit(float((models.limits or {}).get(x, np.inf))) for x in models.langs or ["und"]))
+    rows = rows.select("doc_id", F.when(ok, F.get(names, best)).otherwise("und").alias("lang_pred"), F.when(ok, score).otherwise(0.0).alias("score"), F.when(ok, least).otherwise(0.0).alias("entropy"), F.when(ok, F.get(limits, best)).alias("limit"))
+    rejected = F.col("limit").isNull() | (F.col("entropy") > F.col("limit")) | (F.col("score") < 0.5)
+    return rows.select("doc_id", "lang_pred", "score", "entropy", rejected.alias("rejected"))

@@ -171,7 +171,7 @@ def links(classes: DataFrame, within: int = 2) -> DataFrame:
 #: Texts of the sample that tells common shingles, how many of these are kept, postings of a bucket, and postings of a block of a
 #: shingle that many texts have; shingles of more than FEW texts are tried against one text at a time, STARS times at most,
 #: before all their pairs are.
-TOLD, COMMON, BUCKET, POSTINGS, FEW, STARS = 1 << 14, 1 << 16, 200_000, 1 << 12, 64, 4
+TOLD, COMMON, BUCKET, POSTINGS, FEW, STARS = 1 << 14, 1 << 16, 200_000, 1 << 12, 64, 2
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -248,9 +248,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, sim
 
     of = lambda k: sets.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("parities").alias(f"{k}_parities"))
     pairs, tried = written(pairs, "pairs")
-    if not pairs.limit(1).count():
+    n = pairs.count()
+    if n == 0:
         return pairs, tried
-    left, path = written(joined_hot(joined_hot(pairs, of("b"), ["b"], "inner"), of("a"), ["a"], "inner").mapInArrow(likely, "a long, b long"), "likely")
+    degree = lambda df: {k: df.groupBy(k).count() for k in "ab"}
+    by = degree(pairs)
+    left, path = written(joined_hot(joined_hot(pairs, of("b"), ["b"], "inner", total=n, counts=by["b"]), of("a"), ["a"], "inner", total=n, counts=by["a"]).mapInArrow(likely, "a long, b long"), "likely")
+    n, by = left.count(), degree(left)
     asked = checkpointed(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     known = joined_small(docs, asked, ["doc_id"], "left_semi")
 
@@ -265,7 +269,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, sim
             yield batch.filter(pa.array(near)).select(["a", "b"])
 
     text = lambda k: known.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text"))
-    both = joined_hot(joined_hot(left, text("b"), ["b"], "inner"), text("a"), ["a"], "inner")
+    both = joined_hot(joined_hot(left, text("b"), ["b"], "inner", total=n, counts=by["b"]), text("a"), ["a"], "inner", total=n, counts=by["a"])
     links = written(both.select("a", "b", "a_text", "b_text").mapInArrow(rows, "a long, b long"), "links")
     dropped(docs.sparkSession, tried, path)
     return links
@@ -315,18 +319,21 @@ def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
     own = prints.join(F.broadcast(copies) if few else copies, ["doc_id", "d0", "d1"], "left_anti")
     tokens = own.select(F.col("doc_id").alias("node"), "size", F.posexplode("tokens").alias("place", "token"))
     shared, shared_at = written(tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "shared")
-    postings, postings_at = written(joined_small(tokens, shared, ["token"], "inner").select("token", "node", "size", F.col("place").cast("long").alias("place"), "hub", "n"), "postings")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    named_tokens = tokens.join(F.broadcast(shared), "token") if total <= BROADCAST_ROWS else joined_hot(tokens, shared, ["token"], "inner", total=total, counts=shared.select("token", F.col("n").alias("count")))
+    postings, postings_at = written(named_tokens.select("token", "node", "size", F.col("place").cast("long").alias("place"), "hub", "n"), "postings")
     sets, sets_at = written(own.select(F.col("doc_id").alias("node"), "size", "parities"), "sets")
     links, at = verified(postings.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, texts, words, similarity)
     found, paths = links, [at]
     root = components(found)
+    stars = True
     for turn in range(STARS + 1):
         rooted = joined_small(postings.drop("hub"), root, ["node"]).withColumn("root", F.coalesce("root", "node"))
         # a token whose postings are all of one component is done
         open_ = rooted.groupBy("token").agg(F.first("n").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("node", "root").alias("hub")).where("least < most")
         open_ = checkpointed(open_)
         large = open_.where(F.col("n") > min(FEW, block))
-        last = turn == STARS or not large.limit(1).count()
+        last = turn == STARS or not stars or not large.limit(1).count()
         rest = joined_small(rooted, (open_ if last else large).drop("n"), ["token"], "inner")
         if last:
             buckets = max(1, -(-rest.count() // BUCKET))
@@ -339,10 +346,13 @@ def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
             pairs = rest.where("root <> most").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
         links, at = verified(pairs, sets, texts, words, similarity)
         paths.append(at)
-        found = found.union(links)
-        root = components(found)
+        some = links.limit(1).count() > 0
+        if some:
+            found = found.union(links)
+            root = components(found)
         if last:
             break
+        stars = stars and some
     dropped(spark, prints_at, shared_at, postings_at, sets_at, *paths)
     table = joined_small(named.select("doc_id", "node"), root, ["node"]).select("doc_id", F.coalesce("root", "node").alias("component_id"))
     return table.union(docs.where("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long")))

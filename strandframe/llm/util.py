@@ -116,18 +116,18 @@ def joined_small(df: DataFrame, table: DataFrame, keys: list[str], how: str = "l
     return joined_hot(df, table, keys, how)
 
 
-def joined_hot(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", salts: int = 64) -> DataFrame:
+def joined_hot(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", salts: int = 64, total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Shuffled join of ``df`` with a table that has one row for each key, where some keys may hold a third of df's rows.
 
-    Keys with more than 1 / (4 x tasks) of the rows (so fewer than 4 x tasks keys, which may be broadcast) are dealt out by
+    ``total``: df's rows, ``counts``: (keys, count) of its keys, if they are known. Keys with more than 1 / (4 x tasks) of the rows (so fewer than 4 x tasks keys, which may be broadcast) are dealt out by
     a salt, and the table's rows of these keys, no others, are repeated once for each salt.
     """
     taken = {*df.columns, *table.columns}
     hot_, salt = (next(f"{n}{k}" for k in range(len(taken) + 1) if f"{n}{k}" not in taken) for n in ("hot_", "salt_"))
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= BROADCAST_ROWS:
         return df.join(table, keys, how)
-    hot = checkpointed(df.groupBy(*keys).count().where(F.col("count") > total / (4 * tasks(df.sparkSession))).select(*keys, F.lit(True).alias(hot_)))
+    hot = checkpointed((df.groupBy(*keys).count() if counts is None else counts).where(F.col("count") > total / (4 * tasks(df.sparkSession))).select(*keys, F.lit(True).alias(hot_)))
     if not hot.limit(1).count():
         return df.join(table, keys, how)
     is_hot = F.col(hot_).isNotNull()

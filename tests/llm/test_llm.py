@@ -68,15 +68,69 @@ def test_encoder_equals_the_library(tokenizer):
     assert [flat[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [ids_of(tokenizer, t) for t in texts]
 
 
-def test_op1_models_are_distributions():
-    tables = {}
-    for lang, text in (("a", "the cat sat on the mat"), ("b", "der hund lag auf der matte")):
-        key, _, _ = langid.grams([text])
-        tables[lang] = np.unique(key, return_counts=True)
-    m = langid.kneser_ney(tables)
-    context = int(langid.grams(["the"])[0][2]) >> 16  # what stands before "e" in "the"
-    symbols = np.arange(0x10000, dtype=np.uint64) | np.uint64(context << 16)
-    assert np.exp(m.log_p(langid.ORDER, symbols)).sum(axis=0) == pytest.approx([1, 1], abs=1e-6)
+def plain_kneser_ney(texts_by_lang):
+    """Interpolated Kneser-Ney by dictionaries: log-probability of a symbol after a context of three."""
+
+    def symbols_of(text):
+        import unicodedata
+
+        out, gap = [" "] * 3, False
+        for c in text.lower() + "\n":
+            if unicodedata.category(c)[0] in "LM":
+                out.append(c)
+                gap = False
+            elif not gap:
+                out.append(" ")
+                gap = True
+        return out
+
+    models = {}
+    for lang, texts in texts_by_lang.items():
+        tables = {4: Counter()}
+        for t in texts:
+            s = symbols_of(t)
+            tables[4].update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+        for k in (3, 2, 1):
+            tables[k] = Counter(g[1:] for g in tables[k + 1])
+        models[lang] = tables
+
+    def p(lang, gram):
+        if not gram:
+            return 2.0**-16
+        table = models[lang][len(gram)]
+        below = p(lang, gram[1:])
+        after = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return below
+        n1, n2 = sum(n == 1 for n in table.values()), sum(n == 2 for n in table.values())
+        d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.95)
+        return (max(table[gram] - d, 0) if gram in table else 0) / sum(after) + d * len(after) / sum(after) * below
+
+    def entropy(lang, text):
+        s = symbols_of(text)
+        grams = [tuple(s[k - 3 : k + 1]) for k in range(3, len(s))]
+        return -sum(np.log(p(lang, g)) for g in grams) / len(grams)
+
+    return entropy
+
+
+def test_op1_equals_plain_kneser_ney(spark, monkeypatch):
+    texts = {"a": ["the cat sat on the mat", "the hat, the cat"], "b": ["der hund lag auf der matte", "die katze", "der hund"], "c": ["日本 語の 文"]}
+    docs = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts], "text string, lang string")
+    asked = ["the mat", "der hut", "xyz q", "日本", "cat hund the"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    plain = plain_kneser_ney(texts)
+    for most in (4_000_000, 0):  # as arrays, and as a table that is joined
+        monkeypatch.setattr(langid, "MODEL_ROWS", most)
+        models = langid.fitted(docs, F.lit(True), F.lit(False))
+        assert models.langs == ["a", "b", "c"] and (models.arrays is None) == (most == 0)
+        got = {r.doc_id: r.h for r in langid.entropies(rows, models).collect()}
+        for k, text in enumerate(asked):
+            assert got[k] == pytest.approx([plain(x, text) for x in models.langs], abs=1e-9)
+        if most:
+            context = int(langid.grams(["the"])[0][2]) >> 16  # what stands before "e" in "the"
+            symbols = np.arange(0x10000, dtype=np.uint64) | np.uint64(context << 16)
+            assert np.exp(models.arrays.log_p(langid.ORDER, symbols)).sum(axis=0) == pytest.approx([1, 1, 1], abs=1e-6)
 
 
 def test_op1(spark, odd):
@@ -99,7 +153,7 @@ def test_op1_keeps_every_gram(spark):
     texts.append(texts[0])
     docs = spark.createDataFrame([(t, "zh") for t in texts] + [("plain text here", "en")], "text string, lang string")
     models = langid.fitted(docs, F.lit(True), F.lit(False))
-    assert len(models.keys[langid.ORDER]) == len(np.unique(langid.grams([*texts, "plain text here"])[0])) > 190_000
+    assert len(models.arrays.grams[langid.ORDER][0]) == len(np.unique(langid.grams([*texts, "plain text here"])[0])) > 190_000
 
 
 def test_op2_marginals_and_sampling(spark, odd):
