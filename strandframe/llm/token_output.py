@@ -4,6 +4,8 @@ Format of a block (little-endian): uint32 number of documents, uint64 number of
 (uint64); the control bytes, two bits an id (bytes of its rank, less one), first id in the lowest bits; the ranks' bytes.
 A block holds whole documents, in ascending doc_id order; blocks are rows (shard, before, payload, ...) of a table that
 Spark's writer commits, so they can lie in any store that Spark writes, and a lost executor costs its own tasks only.
+A path holds three tables: blocks; ranks (rank, id), which decodes them; and shards (shard, start), the manifest of where
+each shard's ids begin. It is read by itself, in any session.
 """
 
 from __future__ import annotations
@@ -140,25 +142,32 @@ def encoded(tokens: DataFrame, order: np.ndarray) -> DataFrame:
     return tokens.mapInArrow(encode, BLOCKS)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> np.ndarray:
-    """Tokenise ``docs`` (doc_id, text; more columns are ignored), write the blocks as a table at ``path``, and return
-    the ids by rank. Documents stand in ascending doc_id order (null ids first; equal ids: by text)."""
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
+    """Tokenise ``docs`` (doc_id, text; more columns are ignored, whatever their names) and write the tables of ``path``.
+
+    Documents stand in ascending doc_id order, null ids first; rows that share a doc_id by text, repeated rows one after
+    another. Null and empty texts are the end id alone; a text longer than a block is a block of its own. An empty table
+    writes empty tables.
+    """
     spark = docs.sparkSession
     tokens, ids_at = written(tokenised(docs, tokenizer, end), "ids")
     freed(spark)
     order = ranked_ids(tokens)
-    encoded(tokens, order).write.option("compression", "zstd").parquet(path)
+    encoded(tokens, order).write.option("compression", "zstd").parquet(f"{path}/blocks")
     dropped(spark, ids_at)
-    return order
+    spark.createDataFrame(list(enumerate(order.tolist())), "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")  # at most the vocabulary
+    sums = sorted((r.shard, r.n) for r in spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())  # a few shards for each partition
+    starts = list(zip((s for s, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
+    spark.createDataFrame(starts, "shard int, start long").coalesce(1).write.parquet(f"{path}/shards")
 
 
-def read_ids(spark: SparkSession, path: str, order: np.ndarray) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """The documents of the blocks at ``path``: doc_id, start (ids of all documents before it), n_tokens, ids (uint32,
-    little-endian). The driver sums ids by shard (a few shards for each partition), never by document."""
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    sums = sorted((r.shard, r.n) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
-    starts = dict(zip((s for s, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
-    shared = spark.sparkContext.broadcast((order.astype("<u4"), starts))
+    little-endian)."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    ranks = spark.read.schema("rank int, id long").parquet(f"{path}/ranks").orderBy("rank").toArrow()  # at most the vocabulary
+    starts = {r.shard: r.start for r in spark.read.schema("shard int, start long").parquet(f"{path}/shards").collect()}
+    shared = spark.sparkContext.broadcast((np.asarray(ranks.column("id")).astype("<u4"), starts))
 
     def rows(batches):
         ids_of, start_of = shared.value
@@ -173,8 +182,9 @@ def read_ids(spark: SparkSession, path: str, order: np.ndarray) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write ``docs`` to the shared folder, read the files back: doc_id, start, n_tokens, ids_crc32."""
+    """Write ``docs`` to the shared folder, read the files back: doc_id, start, n_tokens, ids_crc32, a row for each row of
+    ``docs`` (odd rows: see ``write_ids``)."""
     spark = docs.sparkSession
     path = scratch(spark, "blocks")
-    back = read_ids(spark, path, write_ids(docs, path, tokenizer))
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write_ids(docs, path, tokenizer)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -201,6 +201,23 @@ def test_op3(spark, odd, tokenizer):
     assert token_output.digest(odd.limit(0), BYTE).count() == 0
 
 
+def test_op3_files_are_read_by_another_process(spark, odd, tokenizer, tmp_path):
+    """All that decoding needs lies in the path: plain readers and the format, without the session that wrote it."""
+    import pyarrow.parquet as pq
+
+    token_output.write_ids(odd, f"file://{tmp_path}/ids", BYTE)
+    ids_of_rank = pq.read_table(tmp_path / "ids/ranks").sort_by("rank").column("id").to_numpy()
+    start = dict(zip(*pq.read_table(tmp_path / "ids/shards").to_pydict().values(), strict=True))
+    got = []
+    for b in sorted(pq.read_table(tmp_path / "ids/blocks").to_pylist(), key=lambda b: (b["shard"], b["before"])):
+        ranks, sizes = token_output.decode_block(b["payload"])
+        ends = np.cumsum(sizes)
+        got += [(d, start[b["shard"]] + b["before"] + int(e - n), ids_of_rank[ranks[e - n : e]].tolist()) for d, e, n in zip(b["doc_ids"], ends, sizes, strict=True)]
+    docs = sorted(((r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert [(d, ids) for d, _, ids in got] == [(d, ids_of(tokenizer, t)) for d, t in docs]
+    assert [at for _, at, _ in got] == np.cumsum([0, *(len(ids) for _, _, ids in got)])[:-1].tolist()
+
+
 def test_op4(spark, odd):
     paths = queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.tokenizer("piece_bpe_32k.model")
     got = fertility.assessed(odd, *paths).collect()
