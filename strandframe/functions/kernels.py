@@ -329,7 +329,7 @@ def match_xor(data: bytes, inverse: bool = False) -> bytes:
 
 
 def adaptive_residual(data: bytes, inverse: bool = False) -> bytes:
-    """Differences to the best of three predictions (the last byte, the one four back, the last after the same two bytes);
+    """Exclusive or with the best of three predictions (the last byte, the one four back, the last after the same two bytes);
     the best has the most hits so far, halved every 256 bytes; ties: the first."""
     out = bytearray()
     plain = out if inverse else data
@@ -338,7 +338,7 @@ def adaptive_residual(data: bytes, inverse: bool = False) -> bytes:
         context = bytes(plain[max(0, k - 2) : k])
         guesses = (plain[k - 1] if k else 0, plain[k - 4] if k >= 4 else 0, after.get(context, 0))
         guess = guesses[scores.index(max(scores))]
-        out.append((data[k] + guess if inverse else data[k] - guess) & 0xFF)
+        out.append(data[k] ^ guess)
         now = plain[k]
         scores = [s + (g == now) for s, g in zip(scores, guesses, strict=True)]
         after[context] = now
@@ -347,9 +347,10 @@ def adaptive_residual(data: bytes, inverse: bool = False) -> bytes:
     return bytes(out)
 
 
-def lz_parse(data: bytes, window: int = 65_536, newest: int = 8, least: int = 4) -> list[tuple[bytes, int, int]]:
+def lz_parse(data: bytes, window: int = 65_536, newest: int = 8, least: int = 4, most: int = 65_535) -> list[tuple[bytes, int, int]]:
     """(literals, distance, length): greedy parse by 4-byte keys; of the newest candidates the one of the best score, eight
-    bits a byte less the bits of its distance and length; the last entry has no match."""
+    bits a byte less the bits of its distance and length (equal scores: the longer, then the newer); the last entry has no
+    match."""
     table: dict[bytes, list[int]] = {}
     out, literals, k, n = [], bytearray(), 0, len(data)
 
@@ -365,10 +366,10 @@ def lz_parse(data: bytes, window: int = 65_536, newest: int = 8, least: int = 4)
             if k - place > window:
                 continue
             length = 4
-            while k + length < n and data[place + length] == data[k + length]:
+            while length < most and k + length < n and data[place + length] == data[k + length]:
                 length += 1
             score = 8 * length - (k - place).bit_length() - length.bit_length() - 3
-            if score > best[0]:
+            if score > best[0] or (score == best[0] and length > best[2]):
                 best = (score, k - place, length)
         if best[2] >= least:
             out.append((bytes(literals), best[1], best[2]))
@@ -401,6 +402,81 @@ def phrases(x: np.ndarray, most: int = 32, least: int = 8) -> list[tuple[int, in
     return rows[:most]
 
 
+def previous_contexts(x: np.ndarray, size: int = 4) -> np.ndarray:
+    """For each position from ``size`` on, the last position before it that follows the same ``size`` bytes (none: -1)."""
+    if len(x) <= size:
+        return np.zeros(0, np.int64)
+    key = _grams(x, size)[:-1]
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    out = np.full(len(key), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same] + size
+    return out
+
+
+def newest_matches(x: np.ndarray, newest: int = 8, window: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """(position, distance) of the newest earlier positions, at most ``newest``, that start with the same four bytes; those
+    farther than ``window`` fall out."""
+    key = _grams(x, 4)
+    order = np.argsort(key, kind="stable")
+    at, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for back in range(1, newest + 1):
+        same = key[order][back:] == key[order][:-back] if len(key) > back else np.zeros(0, bool)
+        here, there = order[back:][same], order[: max(len(order) - back, 0)][same]
+        near = here - there <= window
+        at.append(here[near])
+        far.append((here - there)[near])
+    return np.concatenate(at), np.concatenate(far)
+
+
+def grid_transposed(x: np.ndarray, width: int = 28) -> np.ndarray:
+    """The first record, then the columns of the other whole records one after another, then the tail."""
+    return np.concatenate([x[:width], shuffle(x[width:], width)])
+
+
+def grid_restored(x: np.ndarray, width: int = 28) -> np.ndarray:
+    return np.concatenate([x[:width], unshuffle(x[width:], width)])
+
+
+def modal(counts: dict[int, int]) -> int:
+    """The most frequent value (ties: the least magnitude, then the smaller); no values: 0."""
+    return min(counts, key=lambda v: (-counts[v], abs(v), v)) if counts else 0
+
+
+def predicted(keys: list[int], values: list[int], mode: int, bits: int = 32, inverse: bool = False, cap: int = 1024) -> list[int]:
+    """Residuals of values, wrapped to signed numbers of ``bits``, to a guess from the rows before; or the values from them.
+
+    Modes: 0 the last value at the key; 1 the modal value at the key; 2 the last value at the key, else the modal value of
+    its context; 3 the modal value at the key, else that of its context; 4 the modal value of its context. A key's context is
+    its sign, its bit length and its value modulo 16; a context's counts are halved, upwards, when they sum to ``cap``.
+    """
+    half, whole = 1 << bits - 1, 1 << bits
+    last: dict[int, int] = {}
+    own: dict[int, dict[int, int]] = {}
+    contexts: dict[tuple, dict[int, int]] = {}
+    out = []
+    for q, v in zip(keys, values, strict=True):
+        context = contexts.setdefault((q < 0, abs(q).bit_length(), q % 16), {})
+        mine = own.setdefault(q, {})
+        if mode == 0:
+            guess = last.get(q, 0)
+        elif mode == 2 and q in last:
+            guess = last[q]
+        elif mode == 1 or (mode == 3 and mine):
+            guess = modal(mine)
+        else:
+            guess = modal(context)
+        now = (v + guess + half) % whole - half if inverse else v
+        out.append(now if inverse else (v - guess + half) % whole - half)
+        last[q] = now
+        mine[now] = mine.get(now, 0) + 1
+        context[now] = context.get(now, 0) + 1
+        if sum(context.values()) >= cap:
+            for k in context:
+                context[k] = -(-context[k] // 2)
+    return out
+
+
 def context_bits(x: np.ndarray, order: int = 1) -> float:
     """Cost in bits under adaptive counts (each symbol starts at one) in the context of ``order`` bytes before."""
     if not len(x):

@@ -102,6 +102,7 @@ TRANSFORMS: dict[str, tuple[Callable, Callable]] = {
     **{f"xor{k}": (lambda x, k=k: K.xor_lag(x, k), lambda x, k=k: K.unxor_lag(x, k)) for k in (1, 2, 4, 8, 12, 16, 24, 32, 64)},
     **{f"sub{k}": (lambda x, k=k: K.sub_lag(x, k), lambda x, k=k: K.unsub_lag(x, k)) for k in (1, 2, 4, 8, 16)},
     **{f"shuffle{k}": (lambda x, k=k: K.shuffle(x, k), lambda x, k=k: K.unshuffle(x, k)) for k in (2, 4, 8)},
+    "grid28": (K.grid_transposed, K.grid_restored),
     **{f"stride{k}": (lambda x, k=k: K.stride(x, k), lambda x, k=k: K.unstride(x, k)) for k in K.STRIDES},
     **{f"word_{kind}{w}{e}": (lambda x, w=w, e=e, kind=kind: _word(x, w, e, kind, K.word_step), lambda x, w=w, e=e, kind=kind: _word(x, w, e, kind, K.unword_step)) for w in (2, 4, 8) for e in ("le", "be") for kind in ("xor", "delta", "delta2", "zigzag")},
     "match_xor": (lambda x: K.octets(K.match_xor(x.tobytes())), lambda x: K.octets(K.match_xor(x.tobytes(), True))),
@@ -132,6 +133,81 @@ def transform_check(df: DataFrame, keep: list[str], data: str, name: str) -> Dat
     return per_blob(df, keep, data, row, "n_bytes long, digest string, entropy double, restored boolean")
 
 
+def entropies(df: DataFrame, keep: list[str], data: str) -> DataFrame:
+    """Bytes and entropy of each whole sequence that isn't empty."""
+    return per_blob(df, keep, data, lambda d: [{"n_bytes": len(d), "entropy": K.entropy(K.octets(d))}] if d else [], "n_bytes long, entropy double")
+
+
+def context_history(df: DataFrame, keep: list[str], data: str, size: int = 4) -> DataFrame:
+    """How many positions follow bytes that were there before, and the distances to the last such positions in all."""
+
+    def row(d: bytes) -> dict:
+        last = K.previous_contexts(K.octets(d), size)
+        hit = np.flatnonzero(last >= 0)
+        return {"positions": len(last), "hits": len(hit), "distances": int((hit + size - last[hit]).sum())}
+
+    return per_blob(df, keep, data, row, "positions long, hits long, distances long")
+
+
+def match_history(df: DataFrame, keep: list[str], data: str, newest: int = 8, window: int = 65_536) -> DataFrame:
+    """Of the newest earlier matches of each position: positions that have one, matches, the nearest's distances, all distances."""
+
+    def row(d: bytes) -> dict:
+        at, far = K.newest_matches(K.octets(d), newest, window)
+        order = np.lexsort((far, at))
+        first = np.concatenate([[True], np.diff(at[order]) != 0]) if len(at) else np.zeros(0, bool)
+        return {"positions": int(first.sum()), "matches": len(at), "nearest": int(far[order][first].sum()), "distances": int(far.sum())}
+
+    return per_blob(df, keep, data, row, "positions long, matches long, nearest long, distances long")
+
+
+def lanes(df: DataFrame, keep: list[str], data: str, width: int) -> DataFrame:
+    """For each lane of records of ``width`` bytes: bytes, distinct values, the bits of a palette index, entropy."""
+
+    def rows(d: bytes) -> list[dict]:
+        x = K.octets(d)
+        return [{"lane": k, "n_bytes": len(x[k::width]), "symbols": (m := len(np.unique(x[k::width]))), "index_bits": (m - 1).bit_length(), "entropy": K.entropy(x[k::width])} for k in range(min(width, len(x)))]
+
+    return per_blob(df, keep, data, rows, "lane int, n_bytes long, symbols int, index_bits int, entropy double")
+
+
+def bit_planes(df: DataFrame, keep: list[str], data: str) -> DataFrame:
+    """For each bit plane, the highest first: ones, and changes from one byte to the next."""
+
+    def rows(d: bytes) -> list[dict]:
+        bits = np.unpackbits(K.octets(d)).reshape(-1, 8)
+        return [{"plane": 7 - k, "ones": int(bits[:, k].sum()), "changes": int((bits[1:, k] != bits[:-1, k]).sum())} for k in range(8)]
+
+    return per_blob(df, keep, data, rows, "plane int, ones long, changes long")
+
+
+def wavelet_levels(df: DataFrame, keep: list[str], data: str) -> DataFrame:
+    """For each level of a wavelet tree over bytes: nodes that hold bytes, ones, and the bits of coding each node's ones apart."""
+
+    def rows(d: bytes) -> list[dict]:
+        x, out = K.octets(d).astype(np.int64), []
+        for level in range(8):
+            node, one = x >> (8 - level), x >> (7 - level) & 1
+            n, ones = np.bincount(node), np.bincount(node, one)
+            n, ones = n[n > 0].astype(float), ones[n > 0]
+            p = np.clip(ones / np.maximum(n, 1), 1e-300, 1)
+            q = np.clip(1 - ones / np.maximum(n, 1), 1e-300, 1)
+            out.append({"level": level, "nodes": len(n), "ones": int(ones.sum()), "bits": float(-(ones * np.log2(p) + (n - ones) * np.log2(q)).sum())})
+        return out
+
+    return per_blob(df, keep, data, rows, "level int, nodes int, ones long, bits double")
+
+
+def adaptive_costs(df: DataFrame, keep: list[str], data: str, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Bits of each sequence under adaptive counts in the context of so many bytes before."""
+    return per_blob(df, keep, data, lambda d: [{"order": k, "bits": K.context_bits(K.octets(d), k)} for k in orders], "order int, bits double")
+
+
+def record_widths(df: DataFrame, keep: list[str], data: str) -> DataFrame:
+    """Record widths to try: the usual ones, those that votes name, and their divisors."""
+    return per_blob(df, keep, data, lambda d: [{"width": w} for w in K.width_candidates(K.octets(d))], "width int")
+
+
 def stride_choice(df: DataFrame, keep: list[str], data: str, sample: int = 4096) -> DataFrame:
     """The stride transform of least entropy on each sequence's sample (entropies equal to 9 digits: the first)."""
 

@@ -77,5 +77,5 @@ def atoms(records: DataFrame, key: list[str]) -> DataFrame:
 def admissions(data: Column) -> Column:
     """Names of all record kinds that a binary column's value may be."""
     text = F.coalesce(data.cast("string"), F.lit(""))
-    kinds = {"records": is_record_file(data), "grid": grid_records(data).isNotNull(), "molecule": is_molecule(text), "executable": F.hex(F.substring(data, 1, 4)) == "7F454C46"}
+    kinds = {"records": is_record_file(data), "grid": grid_records(data).isNotNull(), "molecule": is_molecule(text), "hydrogen": is_molecule(text), "executable": F.hex(F.substring(data, 1, 4)) == "7F454C46"}
     return F.array_compact(F.array(*(F.when(F.coalesce(hit, F.lit(False)), F.lit(name)) for name, hit in kinds.items())))

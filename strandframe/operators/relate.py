@@ -89,7 +89,7 @@ def policy_decision(requests: DataFrame, bindings: DataFrame, rules: DataFrame,
     bindings: identity, role; rules: role, effect (allow, deny), cap and a selector for each request column that
     ``selectors`` names. One matching deny rejects; without any matching allow the answer is no.
     """
-    mine = requests.join(small(bindings), "identity").join(small(rules), "role")
+    mine = requests.join(bindings, "identity").join(small(rules), "role")
     hit = reduce(lambda x, y: x & y, (selector_matches(F.col(s), F.col(c)) for c, s in selectors.items()))
     found = mine.where(hit).groupBy(*request).agg(F.max((F.col("effect") == "deny").cast("int")).alias("_deny"), F.max((F.col("effect") == "allow").cast("int")).alias("_allow"), F.min(F.when(F.col("effect") == "allow", F.col("cap"))).alias("_cap"))
     allowed = (F.coalesce("_allow", F.lit(0)) == 1) & (F.coalesce("_deny", F.lit(0)) == 0)
@@ -133,3 +133,63 @@ def greedy_spans(spans: DataFrame, key: str, most: int = 256) -> DataFrame:
         return pdf[keep].drop(columns="_n")
 
     return spans.groupBy(key).applyInPandas(chosen, spans.schema)
+
+
+def string_names(symbols: DataFrame, key: list[str], offset: str, tables: DataFrame, text: str, end: str) -> DataFrame:
+    """Symbols with ``name``: what stands at their offset in their object's string table, up to the ``end`` mark."""
+    rows = symbols.join(tables.select(*key, F.col(text).alias("_table")), key)
+    return rows.withColumn("name", F.substring_index(F.substring(F.col("_table"), F.col(offset) + 1, F.length("_table")), end, 1)).drop("_table")
+
+
+def all_sections(sections: DataFrame, key: list[str], name: str, value: str, needed: list[str]) -> DataFrame:
+    """Objects that have all ``needed`` sections, with the least value of each as a column: one aggregation, no joins."""
+    found = sections.groupBy(*key).agg(*(F.min(F.when(F.col(name) == n, F.col(value))).alias(f"s{k}") for k, n in enumerate(needed)))
+    return found.where(reduce(lambda a, b: a & b, (F.col(f"s{k}").isNotNull() for k in range(len(needed)))))
+
+
+def pointer_digit(pointers: DataFrame, value: str, pool: DataFrame, base: Column, step: int) -> DataFrame:
+    """Pointers with ``digit``: the place of their value in a pool of values (place, value), else its distance from ``base``
+    in steps after the pool; values off the grid have none."""
+    size = pool.agg(F.count("*").alias("_n"))
+    places = pool.select(F.col("value").alias(value), F.col("place").alias("_place"))
+    far = F.col(value) - base
+    rows = pointers.join(small(places), value, "left").join(F.broadcast(size))  # one row
+    return rows.withColumn("digit", F.coalesce("_place", F.when((far >= 0) & (far % step == 0), F.col("_n") + F.floor(far / step)))).drop("_place", "_n")
+
+
+def dictionary_status(frames: DataFrame, number: str, digest: str, dictionaries: DataFrame) -> DataFrame:
+    """Frames with ``status`` by the dictionaries (number, digest) they name: none (null number), unknown, mismatch or ok."""
+    known = dictionaries.select(F.col("number").alias(number), F.col("digest").alias("_digest"))
+    status = F.when(F.col(number).isNull(), "none").when(F.col("_digest").isNull(), "unknown").when(F.col("_digest") != F.col(digest), "mismatch").otherwise("ok")
+    return frames.join(small(known), number, "left").withColumn("status", status).drop("_digest")
+
+
+def eligible(objects: DataFrame, key: list[str], facts: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Objects with a flag for each condition: whether one of their facts fulfils it. One aggregation for all conditions."""
+    found = facts.groupBy(*key).agg(*(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(n) for n, c in conditions.items()))
+    return objects.join(found, key, "left").select(*objects.columns, *((F.coalesce(n, F.lit(0)) == 1).alias(n) for n in conditions))
+
+
+def recent_reference(df: DataFrame, number: str, digest: str, most: int) -> DataFrame:
+    """Each block with the distance to the newest earlier block of the same content, if it is at most ``most`` blocks back."""
+    distance = F.col(number) - F.lag(number).over(Window.partitionBy(digest).orderBy(number))
+    return df.withColumn("distance", F.when(distance <= most, distance))
+
+
+def name_hash(name: Column) -> Column:
+    """The System V hash of a name of ASCII characters."""
+
+    def step(h: Column, c: Column) -> Column:
+        shifted = (F.shiftleft(h, 4) + F.ascii(c).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
+        high = shifted.bitwiseAND(F.lit(0xF0000000))
+        return shifted.bitwiseXOR(F.shiftright(high, 24)).bitwiseAND(F.bitwise_not(high))
+
+    return F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
+
+
+def proposals(detectors: list[DataFrame], key: str) -> DataFrame:
+    """Spans (key, start, end, kind) that detectors propose, each once, with their rank in each blob: by start, the longest
+    first, then by kind."""
+    rows = reduce(DataFrame.unionByName, detectors).distinct()
+    order = Window.partitionBy(key).orderBy("start", F.desc("end"), "kind")
+    return rows.withColumn("rank", F.row_number().over(order) - 1)

@@ -90,3 +90,50 @@ def page(df: DataFrame, key: str, cursor, size: int = 100) -> DataFrame:
     numbered = head.withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count("*").over(Window.partitionBy()))
     last = F.max(F.when(F.col("_n") == size, F.col(key))).over(Window.partitionBy())
     return numbered.withColumn("next_cursor", F.when(F.col("_all") > size, last)).where(F.col("_n") <= size).drop("_n", "_all")
+
+
+#: What a frame's prefix and the end of a live segment cost, in bytes.
+PREFIX_COST, END_COST = 41, 3
+
+
+def region_routes(regions: DataFrame, key: list[str], number: str, raw: str, nested: str, live: str) -> DataFrame:
+    """(key, number, route) of each region in order: live, nested or raw, whichever is least of their sizes.
+
+    While a live segment is open, the others bear the cost of closing it; a live region bears that of its end. Ties prefer
+    live, then nested, then raw; a null nested size is no candidate. Whether a segment is open depends on the region before
+    only, so a key's regions are one fold over its ordered array.
+    """
+    item = F.struct(F.col(number).cast("long").alias("number"), F.col(raw).cast("long").alias("raw"), F.col(nested).cast("long").alias("nested"), F.col(live).cast("long").alias("live"))
+    ordered = regions.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_r"))
+    choice = "struct<number:bigint,route:string>"
+
+    def step(state: Column, r: Column) -> Column:
+        open_ = F.coalesce(F.try_element_at(state, F.lit(-1))["route"] == "live", F.lit(False))
+        reset = F.when(open_, PREFIX_COST + END_COST).otherwise(0)
+        end = r["live"] + END_COST
+        plain = r["raw"] + reset
+        other = F.coalesce(r["nested"] + reset, F.lit(2**62))
+        route = F.when((end <= plain) & (end <= other), "live").when(other <= plain, "nested").otherwise("raw")
+        return F.array_append(state, F.struct(r["number"].alias("number"), route.alias("route")))
+
+    folded = F.aggregate("_r", F.array().cast(f"array<{choice}>"), step)
+    return ordered.select(*key, F.explode(folded).alias("c")).select(*key, F.col("c.number").alias(number), "c.route")
+
+
+#: The whole-input backends (id, backend, profile) in order.
+BACKENDS = (
+    ("gzip-fast", "gzip", "fast"), ("gzip-size", "gzip", "size"), ("bzip2-size", "bzip2", "size"), ("xz-default-6", "xz", "default"), ("xz-size-9e", "xz", "size"),
+    ("zstd-fast", "zstd", "fast"), ("zstd-default-3", "zstd", "default"), ("zstd-size-22", "zstd", "size"), ("brotli-fast-0", "brotli", "fast"), ("brotli-size-q11-generic-w22", "brotli", "size"),
+    ("xz-dict128-size-9e", "xz", "size"), ("xz-dict128-preset6", "xz", "size"), ("bsc-v3.3.12-bwt-qlfc-static-lzp15-72-fast", "bsc", "size"), ("zpaq715-l5", "zpaq", "size"),
+)
+
+
+def backends(spark) -> DataFrame:
+    """The registry of whole-input backends as a table."""
+    return spark.createDataFrame([(k, *b) for k, b in enumerate(BACKENDS)], "place int, id string, backend string, profile string")
+
+
+def trial_totals(trials: DataFrame, route: str, source: str, payload: str, status: str) -> DataFrame:
+    """For each route: trials, those that were skipped, bytes in and out of the others, and how often its payload was smaller."""
+    ran = F.col(status) == "ran"
+    return trials.groupBy(route).agg(F.count("*").alias("trials"), F.sum(F.when(ran, 0).otherwise(1)).alias("skipped"), F.sum(F.when(ran, F.col(source)).otherwise(0)).alias("source_bytes"), F.sum(F.when(ran, F.col(payload)).otherwise(0)).alias("payload_bytes"), F.sum(F.when(ran & (F.col(payload) < F.col(source)), 1).otherwise(0)).alias("smaller"))

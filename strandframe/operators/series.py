@@ -196,3 +196,62 @@ def lifted(df: DataFrame, key: list[str], pos: str, value: str, predictor: int =
 def axis_delta(df: DataFrame, others: list[str], axis: str, value: str, out: str = "residual") -> DataFrame:
     """Zigzag difference to the neighbour before along one axis of a grid."""
     return df.withColumn(out, zigzag(F.col(value) - F.coalesce(F.lag(value).over(_over(others, [axis])), F.lit(0))))
+
+
+def predicted(df: DataFrame, block: str, pos: str, key: str, value: str, modes: tuple[int, ...] = (0, 1, 2, 3, 4), bits: int = 32) -> DataFrame:
+    """(block, pos, mode, residual): values less what the rows before in the block let expect; the modes of
+    ``kernels.predicted``. Each guess depends on running modes, so a block is one ordered pass: cut streams into blocks."""
+    import pyarrow as pa
+
+    from ..functions.kernels import predicted as residuals
+
+    def rows(table: pa.Table) -> pa.Table:
+        table = table.sort_by(pos)
+        q, v = (table.column(c).to_pylist() for c in (key, value))
+        parts = [pa.table({block: table.column(block), pos: table.column(pos), "mode": pa.array([m] * len(q), pa.int32()), "residual": pa.array(residuals(q, v, m, bits), pa.int64())}) for m in modes]
+        return pa.concat_tables(parts)
+
+    return df.select(block, pos, key, value).groupBy(block).applyInArrow(rows, f"{block} long, {pos} long, mode int, residual long")
+
+
+def history(df: DataFrame, key: list[str], pos: list[str], value: str, last: int) -> DataFrame:
+    """Each row with the number, least and greatest of the ``last`` values before it (none: 0 and nulls)."""
+    w = _over(key, pos).rowsBetween(-last, -1)
+    return df.withColumn("held", F.count(value).over(w)).withColumn("least", F.min(value).over(w)).withColumn("most", F.max(value).over(w))
+
+
+def usage(df: DataFrame, key: list[str], pos: list[str], change: str) -> DataFrame:
+    """For each key: what is reserved after all changes, and the greatest amount that ever was."""
+    held = df.withColumn("_held", F.sum(change).over(_over(key, pos).rowsBetween(Window.unboundedPreceding, 0)))
+    return held.groupBy(*key).agg(F.sum(change).alias("reserved"), F.greatest(F.max("_held"), F.lit(0)).alias("peak"))
+
+
+def arrangements(df: DataFrame, key: list[str], symbol: str) -> DataFrame:
+    """For each key, the number of arrangements of its symbols: n! over the product of the counts' factorials (n up to 20)."""
+    counts = df.groupBy(*key, symbol).agg(F.count("*").cast("int").alias("_c"))
+    n = F.sum("_c").cast("int")
+    divisor = F.aggregate(F.collect_list("_c"), F.lit(1).cast("long"), lambda a, c: a * F.factorial(c))  # at most 20 counts
+    return counts.groupBy(*key).agg(n.alias("n"), divisor.alias("_d")).select(*key, "n", F.expr("factorial(n) div _d").alias("arrangements"))
+
+
+def subset_rank(df: DataFrame, key: list[str], place: str) -> DataFrame:
+    """For each key, the colexicographic rank of its set of places (from 0, below 21): the sum of C(place, number), numbers
+    from 1 by rising place."""
+    numbered = df.withColumn("_i", F.row_number().over(_over(key, [place])))
+    fits = F.col(place) >= F.col("_i")
+    choose = F.when(fits, F.expr(f"factorial(cast({place} as int)) div (factorial(_i) * factorial(cast({place} as int) - _i))")).otherwise(0)
+    return numbered.withColumn("_c", choose).groupBy(*key).agg(F.count("*").alias("places"), F.sum("_c").cast("long").alias("rank"))
+
+
+def mixed_radix(df: DataFrame, key: list[str], pos: list[str], digit: str, alphabet: str) -> DataFrame:
+    """For each key, its digits as one number: each stands for the product of the alphabets before it (below 2^62)."""
+    w = _over(key, pos).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.round(F.exp(F.coalesce(F.sum(F.log(alphabet)).over(w), F.lit(0.0)))).cast("long")
+    return df.withColumn("_w", weight).groupBy(*key).agg(F.count("*").alias("digits"), F.sum(F.col(digit) * F.col("_w")).cast("long").alias("number"))
+
+
+def remaining_cost(df: DataFrame, key: list[str], pos: list[str], symbol: str) -> DataFrame:
+    """For each key, the bits of coding its symbols one after another by the counts that remain of each."""
+    left = F.count("*").over(Window.partitionBy(*key)) - F.row_number().over(_over(key, pos)) + 1
+    own = F.count("*").over(Window.partitionBy(*key, symbol)) - F.row_number().over(_over([*key, symbol], pos)) + 1
+    return df.withColumn("_a", left).withColumn("_b", own).groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.log2(F.col("_a") / F.col("_b"))).alias("bits"))

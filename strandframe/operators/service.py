@@ -72,3 +72,39 @@ def valid_path(path: Column) -> Column:
 def first_violation(limits: dict[str, tuple[Column, Column]]) -> Column:
     """The first limit (name: asked, cap) that is over its cap; none: null."""
     return F.coalesce(*(F.when(asked > cap, F.lit(name)) for name, (asked, cap) in limits.items()), F.lit(None).cast("string"))
+
+
+def inserted(store: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``status``: created, or conflict if the store has their key or an equal key among the rows; created rows
+    are what is to be appended. A row is the first of its key by all its columns."""
+    first = rows.groupBy(*key).agg(F.min(F.struct(*(c for c in rows.columns if c not in key))).alias("_r"), F.count("*").alias("_n"))
+    known = store.select(*key).distinct().withColumn("_known", F.lit(True))
+    status = F.when(F.col("_known").isNotNull(), "conflict").otherwise("created")
+    return first.join(known, key, "left").select(*key, "_r.*", (F.col("_n") - 1).alias("repeats"), status.alias("status"))
+
+
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The row of a primary key: a filter that reaches the scan."""
+    for name, value in key.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
+
+
+def finished(jobs: DataFrame, updates: DataFrame, now: Column | int) -> DataFrame:
+    """Terminal updates (id, worker, expected, state) that pass both fences: the stored revision is the expected one and the
+    worker's lease lives. Of several for a job the first by worker and state. Each gives the job's next revision and is an event."""
+    fits = (F.col("expected") == F.col("revision")) & (F.col("worker") == F.col("lease_owner")) & (F.col("lease_until") >= now) & ~F.col("state").isin(*TERMINAL)
+    rows = updates.where(F.col("to_state").isin(*TERMINAL)).join(jobs, "id").where(fits)
+    first = F.min(F.struct("worker", "to_state"))
+    return rows.groupBy("id", "tenant", "revision").agg(first.alias("_f")).select("id", "tenant", (F.col("revision") + 1).alias("revision"), F.col("_f.to_state").alias("state"), F.col("_f.worker").alias("worker"))
+
+
+def duration_ms(text: Column) -> Column:
+    """Milliseconds of a duration text: digits with ms, s or m after them; anything else: null."""
+    number, unit = (F.regexp_extract(text, r"^([0-9]+)(ms|s|m)$", k) for k in (1, 2))
+    return F.when(number != "", number.cast("long") * F.when(unit == "ms", 1).when(unit == "s", 1000).otherwise(60_000))
+
+
+def first_reason(reasons: dict[str, Column]) -> Column:
+    """The first reason whose condition holds; none: null."""
+    return F.coalesce(*(F.when(c, F.lit(name)) for name, c in reasons.items()), F.lit(None).cast("string"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import entropy
 from ..operators import blobs, select
 from .registry import query, table
 
@@ -48,9 +47,7 @@ def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BYTES} SELECT doc_id, sum(c)::BIGINT AS n_bytes, round({H}, {R}) AS entropy FROM (SELECT doc_id, b, count(*) AS c FROM bytes GROUP BY doc_id, b) GROUP BY doc_id""")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = blobs.histogram(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    total, weighted = F.sum("times"), F.sum(F.col("times") * F.log2("times"))
-    return counts.groupBy("doc_id").agg(total.alias("n_bytes"), F.round(entropy(total, weighted), R).alias("entropy"))
+    return blobs.entropies(table(spark, sf_dir, "documents"), ["doc_id"], "text").withColumn("entropy", F.round("entropy", R))
 
 
 @query(f"""WITH {SAMPLE} SELECT p.doc_id, p.region::INT AS region, p.start, p.stop - p.start AS bytes, round(coalesce(e.e, 0), {R}) AS entropy FROM parts p LEFT JOIN

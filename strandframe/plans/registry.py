@@ -28,6 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 from . import bytes as _bytes  # noqa: E402, F401
+from . import contexts as _contexts  # noqa: E402, F401
+from . import objects as _objects  # noqa: E402, F401
+from . import portfolio as _portfolio  # noqa: E402, F401
 from . import relations as _relations  # noqa: E402, F401
 from . import series as _series  # noqa: E402, F401
 from . import service as _service  # noqa: E402, F401

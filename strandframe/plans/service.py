@@ -95,3 +95,55 @@ def parsed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def limit_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     return table(spark, sf_dir, "documents").select("doc_id", service.first_violation({"input": (n, F.lit(4000)), "memory": (n * 3, F.lit(9000))}).alias("violation"))
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id AS tenant, event_type AS kind, event_id % 20 AS id FROM events WHERE event_id % 2 = 0), n AS (SELECT user_id AS tenant, event_type AS kind, event_id % 20 AS id, min(event_id) AS body, count(*) - 1 AS repeats FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+SELECT n.tenant, n.kind, n.id, n.body, n.repeats, CASE WHEN s.tenant IS NULL THEN 'created' ELSE 'conflict' END AS status FROM n LEFT JOIN s ON s.tenant = n.tenant AND s.kind = n.kind AND s.id = n.id""")
+def insert_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for a store that takes each key once."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), F.col("event_type").alias("kind"), (F.col("event_id") % 20).alias("id"), F.col("event_id").alias("body"))
+    return service.inserted(rows.where("body % 2 = 0"), rows.where("body % 3 = 0"), ["tenant", "kind", "id"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 97")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), o_orderkey=97)
+
+
+@query(f"""WITH {_JOBS}, u AS (SELECT event_id AS id, 'w' || (event_id % 3) AS worker, event_id % 4 AS expected, CASE WHEN event_id % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS to_state FROM events)
+SELECT id, tenant, id % 4 + 1 AS revision, to_state AS state, worker FROM j JOIN u USING (id) WHERE expected = id % 4 AND worker = lease_owner AND lease_until >= 4000000 AND state NOT IN ('succeeded', 'failed', 'cancelled')""")
+def terminal_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that workers finish: the events of updates that pass the fences of revision and lease."""
+    known = jobs(spark, sf_dir).withColumn("revision", F.col("id") % 4)
+    updates = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker"), (F.col("event_id") % 4).alias("expected"), F.when(F.col("event_id") % 2 == 0, "succeeded").otherwise("failed").alias("to_state"))
+    return service.finished(known, updates, 4_000_000)
+
+
+@query("""WITH p AS (SELECT event_id, event_type FROM events WHERE user_id = 3 AND event_id > 10 ORDER BY event_id LIMIT 3), a AS (SELECT count(*) AS n FROM events WHERE user_id = 3 AND event_id > 10)
+SELECT event_id, event_type, (SELECT CASE WHEN n > 3 THEN (SELECT max(event_id) FROM p) END FROM a) AS next_cursor FROM p""")
+def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of one job's events after a cursor."""
+    rows = service.lookup(table(spark, sf_dir, "events"), user_id=3).select("event_id", "event_type")
+    return select.page(rows, "event_id", 10, 3)
+
+
+@query("""WITH a AS (SELECT sha256(coalesce(text, '')) AS id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, doc_id FROM documents) SELECT id, size, 'text/plain' AS media_type, count(*) AS names, min(doc_id) AS first_name FROM a GROUP BY id, size""")
+def describe_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts by their content address: size, type, and the names that refer to them."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(F.sha2(text, 256).alias("id"), F.octet_length(text).cast("long").alias("size"), "doc_id")
+    return rows.groupBy("id", "size").agg(F.count("*").alias("names"), F.min("doc_id").alias("first_name")).withColumn("media_type", F.lit("text/plain"))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations) SELECT conv_id, count(*)::INT AS entries, sum(n)::BIGINT AS chars, arg_min(role, turn) AS first_role, string_agg(turn::VARCHAR || '/' || role, ',' ORDER BY turn) AS paths FROM e GROUP BY conv_id""")
+def collection_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections as nested documents (an array of entries, each with its metadata), and what is read from them."""
+    entry = F.struct("turn", F.concat_ws("/", F.col("turn").cast("string"), "role").alias("path"), F.create_map(F.lit("role"), F.col("role")).alias("metadata"), F.length("text").cast("long").alias("size"))
+    nested = table(spark, sf_dir, "conversations").select("conv_id", "turn", entry.alias("entry")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "entry.path", "entry.size", F.col("entry.metadata")["role"].alias("role")))).alias("entries"))
+    return nested.select("conv_id", F.size("entries").alias("entries"), F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("chars"), F.col("entries")[0]["role"].alias("first_role"), F.array_join(F.transform("entries", lambda e: e["path"]), ",").alias("paths"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN page_id WHEN 1 THEN page_id * 1000 WHEN 2 THEN page_id * 60000 END::BIGINT AS ms FROM pages")
+def parsed_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(F.lit("ms"), F.lit("s"), F.lit("m"), F.lit("h")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", service.duration_ms(F.concat(F.col("page_id").cast("string"), suffix)).alias("ms"))

@@ -71,3 +71,21 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     """Whole files as rows (path, length, content)."""
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "length", "content")
+
+
+def restored(pieces: DataFrame, key: list[str], number: str, data: str) -> DataFrame:
+    """Each blob from its pieces in the order of their numbers, and how many there were. A blob is one value of one row, so
+    its pieces come together in one task."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.hex(data).alias("h")))), lambda p: p["h"])
+    return pieces.groupBy(*key).agg(F.count("*").alias("pieces"), F.unhex(F.array_join(ordered, "")).alias("data"))
+
+
+def bounded(df: DataFrame, data: str, cap: int) -> DataFrame:
+    """``df`` with ``status`` (read, or too long: nothing is cut silently) and ``taken``, the bytes that were looked at."""
+    size = F.octet_length(F.coalesce(F.col(data), F.lit("")))
+    return df.withColumn("status", F.when(size <= cap, "read").otherwise("too long")).withColumn("taken", F.least(size, F.lit(cap + 1)))
+
+
+def list_line(signature: Column, path: Column, restored_bytes: Column) -> Column:
+    """One line about a decoded blob."""
+    return F.format_string('signature="%s" path=%s restored_bytes=%d verified=true', signature, path, restored_bytes.cast("long"))

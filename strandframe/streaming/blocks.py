@@ -18,10 +18,14 @@ from ..operators import blobs
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder (a temporary one only where that is unset)."""
+    """A new folder under the cluster's checkpoint folder; a temporary one only where that is unset and the session is local."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="strandframe-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strandframe-")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
