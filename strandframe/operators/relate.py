@@ -25,7 +25,7 @@ def option_lists(slots: DataFrame, slot: list[str], name: str, own: str, index:
     """A slot's options: its own value, then the index's other values of its name, most frequent first (ties: smaller)."""
     # options are ranked once for each name, not once for each slot
     ranked = index.groupBy(name).agg(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("r"), F.col(value).alias("v")))).alias("_o"))
-    rows = slots.join(ranked, name, "left")
+    rows = slots.join(small(ranked), name, "left")
     others = F.filter(F.transform(F.coalesce("_o", F.array().cast("array<struct<r:bigint,v:bigint>>")), lambda x: x["v"]), lambda v: v != F.col(own))
     return rows.select(*slot, name, own, F.concat(F.array(F.col(own).cast("long")), others).alias("options"))
 
@@ -71,10 +71,18 @@ def parent_residual(nodes: DataFrame, key: list[str], node: str, value: str, par
     return rows.join(up, [*key, "parent"], "left").withColumn("residual", F.col(value) - F.coalesce("_up", F.lit(0))).drop("_up")
 
 
-def block_reference(df: DataFrame, number: str, digest: str) -> DataFrame:
-    """For each block the newest earlier block of the same content (null: none)."""
-    w = Window.partitionBy(digest).orderBy(number)
-    return df.withColumn("reference", F.lag(number).over(w))
+def block_reference(df: DataFrame, number: str, digest: str, span: int = 65_536) -> DataFrame:
+    """For each block the newest earlier block of the same content (null: none).
+
+    Numbers are cut into spans: within one the block before is a lag, and its first block of a content takes the last one
+    of the spans before, from a table of a row for each content and span. So a content that a third of all blocks have is
+    sorted by span, not in one task.
+    """
+    rows = df.withColumn("_span", F.floor(F.col(number) / span))
+    lasts = rows.groupBy(digest, "_span").agg(F.max(number).alias("_last"))
+    before = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy(digest).orderBy("_span"))).where("_before is not null").drop("_last")
+    own = F.lag(number).over(Window.partitionBy(digest, "_span").orderBy(number))
+    return rows.withColumn("_own", own).join(before, [digest, "_span"], "left").withColumn("reference", F.coalesce("_own", "_before")).select(*df.columns, "reference")
 
 
 def selector_matches(selector: Column, value: Column) -> Column:

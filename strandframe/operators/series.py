@@ -176,10 +176,35 @@ def partitions(df: DataFrame, block: list[str], pos: str, value: str, level: int
     return keyed.groupBy(*block, "_k.sign", "_k.length", "_k.low").agg(F.count("*").alias("n"), F.min(pos).alias("first"), F.max(pos).alias("last"))
 
 
-def round_robin(df: DataFrame, family: str, order: str) -> DataFrame:
-    """Rows interleaved by family: all families' first rows, then the second ones; families by their first row's order."""
-    w = Window.partitionBy(family).orderBy(order)
-    return df.withColumn("turn", F.row_number().over(w) - 1).withColumn("family_first", F.min(order).over(Window.partitionBy(family)))
+def round_robin(df: DataFrame, family: str, order: str, span: int = 65_536) -> DataFrame:
+    """Rows interleaved by family: all families' first rows, then the second ones; families by their first row's order (a
+    number). Rows are numbered within spans of the order, and a span's first number comes from the spans' counts, so that a
+    family with a third of all rows is not sorted in one task."""
+    rows = df.withColumn("_span", F.floor(F.col(order) / span))
+    counts = rows.groupBy(family, "_span").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(family).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(family, "_span", before.alias("_start"), F.min("_first").over(Window.partitionBy(family)).alias("family_first"))
+    mine = F.row_number().over(Window.partitionBy(family, "_span").orderBy(order)) - 1
+    return rows.withColumn("_mine", mine).join(starts, [family, "_span"]).withColumn("turn", (F.col("_mine") + F.col("_start")).cast("int")).select(*df.columns, "turn", "family_first")
+
+
+def packing_costs(df: DataFrame, key: list[str], pos: list[str], value: str) -> DataFrame:
+    """For each series, an array ``costs`` of (bits, place, kind): frame of reference, differences, second differences and
+    patched frames at each width. One shuffle and one sort: all widths come from the same windows and a histogram of widths."""
+    w = _over(key, pos)
+    rows = df.withColumn("_f", F.col(value) - F.lag(value).over(w)).withColumn("_s", F.col("_f") - F.lag("_f").over(w))
+    rows = rows.withColumn("_w", bit_width(F.col(value) - F.min(value).over(Window.partitionBy(*key))))
+    wide = lambda c: F.coalesce(F.max(bit_width(zigzag(F.col(c)))), F.lit(0))
+    hist = rows.groupBy(*key, "_w").agg(F.count("*").alias("_c"), wide("_f").alias("_a"), F.count("_f").alias("_na"), wide("_s").alias("_b"), F.count("_s").alias("_nb"))
+    hist = hist.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*key).orderBy("_w").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*key)))
+    pick = lambda q: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * q), F.col("_n") - 1), F.col("_w")))
+    most = F.max("_w")
+    one = hist.groupBy(*key, "_n").agg(most.alias("_most"), F.max("_a").alias("_a"), F.sum("_na").alias("_na"), F.max("_b").alias("_b"), F.sum("_nb").alias("_nb"), F.array_distinct(F.array(F.lit(0), pick(0.90), pick(0.95), pick(0.99), most)).alias("_ws"), F.collect_list(F.struct("_w", "_c")).alias("_h"))  # at most 64 widths
+    cost = lambda bits, place, kind: F.struct(bits.cast("long").alias("bits"), place.cast("int").alias("place"), kind.alias("kind"))
+    over = lambda width: F.aggregate(F.filter("_h", lambda x: x["_w"] > width), F.lit(0).cast("long"), lambda a, x: a + x["_c"])
+    patched = F.transform("_ws", lambda x: cost(F.col("_n") * x + over(x) * (32 + F.col("_most") - x), x + 3, F.concat(F.lit("pfor"), x.cast("string"))))
+    plain = F.array(cost(F.col("_most") * F.col("_n"), F.lit(0), F.lit("for")), cost(F.col("_a") * F.col("_na"), F.lit(1), F.lit("delta")), cost(F.col("_b") * F.col("_nb"), F.lit(2), F.lit("delta2")))
+    return one.select(*key, F.concat(plain, patched).alias("costs"))
 
 
 def lifted(df: DataFrame, key: list[str], pos: str, value: str, predictor: int = 1) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blobs, select
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 #: (doc_id, pos, b) of whole texts, in DuckDB.
 BYTES = """hexed AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
@@ -245,7 +245,11 @@ def route_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.shortlisted(select.rounded(found, R), ["doc_id"])
 
 
-@query()
+@query(f"""WITH r AS (SELECT * FROM ({ORACLES["route_shortlist"]}) WHERE effort = 'balanced'),
+n AS (SELECT r.*, list_position(['runs', 'composition', 'bwt', 'stride', 'lz', 'predictor', 'phrases', 'ppm', 'mixture', 'deflate'], route) AS number FROM r),
+l AS (SELECT *, CASE WHEN number BETWEEN 2 AND 7 THEN ['hybrid', 'native', 'deflate'] ELSE [route] END AS l FROM n),
+e AS (SELECT doc_id, effort, place, number, unnest(l) AS backend, generate_subscripts(l, 1) AS turn FROM l UNION ALL SELECT DISTINCT doc_id, effort, -1, 0, 'raw', 0 FROM r)
+SELECT doc_id, effort, (row_number() OVER (PARTITION BY doc_id, effort ORDER BY place, turn) - 1)::INT AS ordinal, number::INT AS route, backend FROM e""")
 def candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal (route, backend) candidates of each text at the balanced effort, in order."""
     found = blobs.profile(table(spark, sf_dir, "documents"), ["doc_id"], "text")

@@ -129,7 +129,10 @@ def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.merged_spans(spans, ["user_id"], "a", "b")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id AS a, event_id + 1 + event_id % 301 AS b, event_type AS kind FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, a - b, kind) AS i FROM s),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS last, 0 AS taken, false AS took FROM s
+UNION ALL SELECT i.user_id, i.i, CASE WHEN i.a >= f.last AND f.taken < 256 THEN i.b ELSE f.last END, f.taken + (i.a >= f.last AND f.taken < 256)::INT, i.a >= f.last AND f.taken < 256 FROM f JOIN i ON i.user_id = f.user_id AND i.i = f.i + 1)
+SELECT i.user_id, i.a AS start, i.b AS "end", i.kind FROM f JOIN i ON i.user_id = f.user_id AND i.i = f.i WHERE f.took""")
 def greedy_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-overlapping spans of each user's events by start, longest first, at most 256 of each."""
     spans = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("start"), (F.col("event_id") + 1 + F.col("event_id") % 301).alias("end"), F.col("event_type").alias("kind"))

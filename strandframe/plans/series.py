@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,12 +102,8 @@ def pfor_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, {D1}, {D2}, {PFOR}, c AS (SELECT key, 0 AS place, 'for' AS kind, bits FROM ({FOR_SQL}) UNION ALL SELECT key, 1, 'delta', bits FROM ({_dbits('d1')}) UNION ALL SELECT key, 2, 'delta2', bits FROM ({_dbits('d2')})
 UNION ALL SELECT key, 3 + width, 'pfor' || width, {PFOR_BITS} FROM p), best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY bits, place) AS i FROM c) SELECT key, kind, bits FROM best WHERE i = 1""")
 def numeric_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, order = lines(spark, sf_dir), ["l_orderkey", "l_linenumber"]
-    pick = lambda df, place, kind: df.select("key", place.cast("int").alias("place"), kind.alias("kind"), "bits")
-    tried = [pick(series.frame_of_reference(rows, ["key"], "v"), F.lit(0), F.lit("for")), pick(series.delta_bits(rows, ["key"], order, "v"), F.lit(1), F.lit("delta")), pick(series.delta_bits(rows, ["key"], order, "v", order=2), F.lit(2), F.lit("delta2"))]
-    patched = series.patched_widths(rows, ["key"], "v")
-    tried.append(pick(patched, F.col("width") + 3, F.concat(F.lit("pfor"), F.col("width").cast("string"))))
-    return series.cheapest(reduce(DataFrame.unionByName, tried), ["key"], "bits", "place").select("key", "kind", "bits")
+    found = series.packing_costs(lines(spark, sf_dir), ["key"], ["l_orderkey", "l_linenumber"], "v")
+    return found.select("key", F.array_min("costs").alias("best")).select("key", "best.kind", "best.bits")
 
 
 @query(f"WITH {LINES}, k AS (SELECT unnest(range(17)) AS k) SELECT key, k::INT AS k, sum((v >> k::INT) + 1 + k)::BIGINT AS bits FROM s CROSS JOIN k GROUP BY key, k")

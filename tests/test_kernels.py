@@ -73,3 +73,26 @@ def test_standard_formats_come_back():
 
 def test_huffman_bits():
     assert K.huffman_bits(np.array([5, 1, 1])) == 9 and K.huffman_bits(np.array([7])) == 7 and K.huffman_bits(np.zeros(3, int)) == 0
+
+
+def test_predictor_and_match_vectors():
+    # the guess for the second byte is the first one: an exclusive or, not a difference
+    assert K.adaptive_residual(bytes([5, 6, 6])) == bytes([5, 3, 0])
+    # a near match of four bytes and a far one of five have the same score: the longer is taken
+    filler = np.random.default_rng(3).permutation(np.repeat(np.arange(128, 256, dtype=np.uint8), 20))[:2500].tobytes()
+    parts = K.lz_parse(b"abcdE" + filler + b"abcdzqrs" + b"abcdE")
+    assert parts[-2][1:] == (5 + 2500 + 8, 5) and K.lz_restore(parts) == b"abcdE" + filler + b"abcdzqrsabcdE"
+    assert K.lz_parse(b"a" * 70_000)[0][2] == 65_535
+    # move-to-front, block sorting and match prediction of short texts
+    assert K.move_to_front(b"aab") == bytes([97, 0, 98]) and K.rotations_sorted(K.octets(b"banana")) [0] == 3
+    assert K.rotations_sorted(K.octets(b"banana"))[1].tobytes() == b"nnbaaa"
+    assert K.match_xor(b"abcdXabcdX")[9] == 0
+
+
+def test_predictions_come_back():
+    rng = np.random.default_rng(4)
+    q, v = rng.integers(-3, 4, 3000).tolist(), (rng.integers(-2, 3, 3000) * 10**9).tolist()
+    for mode in range(5):
+        there = K.predicted(q, v, mode)
+        assert K.predicted(q, there, mode, inverse=True) == v and all(-(2**31) <= x < 2**31 for x in there)
+    assert K.modal({}) == 0 and K.modal({-2: 1, 2: 1, 3: 1}) == -2 and K.predicted([1, 1, 1], [7, 7, 9], 1) == [7, 0, 2]

@@ -140,7 +140,7 @@ def test_record_admissions(spark):
     data = [(0, b""), (1, b"\x03\x00\x05"), (2, b"\x01\x00\x00"), (3, grid), (4, grid + b"x"), (5, b"..V2000..M  END"), (6, b"\x7fELF"), (7, None)]
     df = spark.createDataFrame(data, "id int, data binary")
     got = {r.id: (r.kinds, r.n) for r in df.select("id", records.admissions(F.col("data")).alias("kinds"), records.grid_records(F.col("data")).alias("n")).collect()}
-    assert got == {0: ([], None), 1: (["records"], None), 2: ([], None), 3: (["grid"], 2), 4: ([], None), 5: (["molecule"], None), 6: (["executable"], None), 7: ([], None)}
+    assert got == {0: ([], None), 1: (["records"], None), 2: ([], None), 3: (["grid"], 2), 4: ([], None), 5: (["molecule", "hydrogen"], None), 6: (["executable"], None), 7: ([], None)}
 
 
 def test_molecules(spark):
