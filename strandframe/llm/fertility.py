@@ -164,6 +164,11 @@ def judged(measures: DataFrame) -> DataFrame:
 
 
 def assessed(docs: DataFrame, byte_path: str, fallback_path: str) -> DataFrame:
-    """Measures and verdict for every row of ``docs`` (doc_id, text, lang; more columns are ignored)."""
+    """Measures and verdict for every row of ``docs`` (doc_id, text, lang; more columns are ignored, whatever their names).
+
+    Null, empty and blank texts have no words and fail the base rules. Repeated rows are measured each and weigh in the
+    bands each; rows that share a doc_id have their own verdicts. Long texts are measured whole. On a band's edge a text is
+    kept. Without a text that passes the base rules there are no bands, and the base rules decide. Empty table: no rows.
+    """
     measures, _ = written(measured(docs, byte_path, fallback_path), "fertility")
     return judged(measures)

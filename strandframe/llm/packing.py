@@ -115,6 +115,11 @@ def packed(parts: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def best_fit(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
-    """Tokenise ``docs`` (doc_id, text) once, keeping lengths and checksums, and pack the pieces."""
+    """Tokenise ``docs`` (doc_id, text; more columns are ignored, whatever their names) once, keeping lengths and checksums,
+    and pack the pieces.
+
+    Null and empty texts are the end id alone; long ones are cut into pieces. Pieces of equal length are placed in the order
+    of doc_id (null first), piece and checksum within a bucket; repeated rows have places of their own. Empty table: no rows.
+    """
     table, _ = written(pieces(docs, tokenizer, capacity), "pieces")
     return packed(table, capacity)

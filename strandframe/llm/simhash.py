@@ -361,8 +361,9 @@ def near_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, bloc
 def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach) of every document.
 
-    Documents with equal fingerprints are one class; null doc_ids stand in no minimum. Empty input: no rows. Repeated
-    rows come back as often as they are there.
+    Documents with equal fingerprints are one class; null doc_ids stand in no minimum. Null and empty texts have
+    fingerprint 0, long ones are read whole. Empty input: no rows. Repeated rows come back as often as they are there. More
+    columns are ignored, whatever their names.
     """
     prints, _ = written(fingerprints(docs, words), "fingerprints")
     return grouped(prints, within)

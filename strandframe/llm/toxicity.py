@@ -21,7 +21,8 @@ TEXT_BYTES = 4 << 20
 #: The model is fitted on at most so many labelled rows (those with the least hash of the id) of at most so many characters,
 #: so that training is bounded; every row is scored.
 SAMPLE, SAMPLE_CHARS = 16_384, 65_536
-#: A feature takes part if so many positive rows of the sample hold it: fewer can't overcome the L1 term.
+#: A feature takes part if so many positive rows of the sample hold it. This bounds what the driver holds; it also leaves out
+#: rarer features, and those of negative rows only, which would have had (small or negative) weights.
 LEAST = 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _MIX, _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -75,7 +76,7 @@ class Weights:
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, width: int, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3) -> Weights:
     """Weights of ``width`` features from each row's distinct feature numbers, one row after another."""
     z, n = np.zeros(width), np.zeros(width)
-    bias = zb = nb = 0.0
+    zb = nb = 0.0
     for _ in range(epochs):
         for k, y in zip(rows, labels, strict=True):
             zk, nk = z[k], n[k]
@@ -88,7 +89,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, width: int, *, alpha: float
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    return Weights(np.arange(width), w, float(bias))
+    return Weights(np.arange(width), w, float(-zb / ((beta + nb**0.5) / alpha + l2)))
 
 
 def calibrated(weights: Weights, margins: np.ndarray, labels: np.ndarray) -> Weights:
@@ -156,7 +157,11 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Weights:
 
 
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id and score (0 to 1) of every text of ``docs`` (null and empty ones: what the bias says)."""
+    """doc_id and score (0 to 1) of every text of ``docs`` (doc_id, text; more columns are ignored, whatever their names).
+
+    Null and empty texts, and texts without a known feature, score what the bias says. Repeated rows and rows that share a
+    doc_id are scored each; long texts are read whole. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def rows(batches):

@@ -172,6 +172,38 @@ def test_op2_marginals_and_sampling(spark, odd):
     assert all(r.sampled for r in mixing.mixed(odd, 1.0).select("_mix.*").collect() if r.probability == 1)
 
 
+def test_op2_query_equals_plain_raking(spark):
+    """The query's own numbers: cells by a plain pass over the texts, marginals at the smoothed shares, rate, decisions."""
+    got = {r.doc_id: r for r in queries.op2_source_mixing(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    size = Counter()
+    for d in docs:
+        r = got[d.doc_id]
+        assert r.n_tokens == max(len(re.findall("[^\x20\x09-\x0d]+", d.text or "")), 1) and (r.source, r.lang) == (d.source or "", d.lang or "")
+        size[r.source, r.lang, r.topic] += r.n_tokens
+    total = sum(size.values())
+    fit = {c: n / total for c, n in size.items()}
+    own = [Counter() for _ in range(3)]
+    for c, n in size.items():
+        for k in range(3):
+            own[k][c[k]] += n / total
+    want = [{x: v**0.7 / sum(w**0.7 for w in o.values()) for x, v in o.items()} for o in own]
+    for _ in range(300):
+        for k in range(3):
+            now = Counter()
+            for c, v in fit.items():
+                now[c[k]] += v
+            fit = {c: v * want[k][c[k]] / now[c[k]] for c, v in fit.items()}
+    for d in docs:
+        r = got[d.doc_id]
+        c = (r.source, r.lang, r.topic)
+        assert r.weight == pytest.approx(fit[c] / (size[c] / total), rel=1e-4)
+    rate = max(r.probability / r.weight for r in got.values())
+    assert all(r.probability == pytest.approx(min(1, rate * r.weight), rel=1e-9) for r in got.values())
+    assert sum(r.n_tokens * r.probability for r in got.values()) == pytest.approx(0.9 * total, rel=1e-6)
+    assert all(r.sampled for r in got.values() if r.probability == 1) and not all(r.sampled for r in got.values())
+
+
 def test_op2_large_tables_take_the_same_numbers(spark):
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", (a + 1) * (b + 2) * (c + 3)) for a in range(2) for b in range(2) for c in range(2)], "source string, lang string, topic string, size long")
     targets = mixing._targets(cells, 0.5)
@@ -237,6 +269,35 @@ def test_op4(spark, odd):
     assert not any(r.kept for r in got if r.base_failed) and fertility.assessed(odd.limit(0), *paths).count() == 0
 
 
+def test_op4_measures_equal_plain_ones(spark):
+    paths = queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.tokenizer("piece_bpe_32k.model")
+    known = fertility.Vocabularies(*paths)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r for r in fertility.assessed(docs, *paths).collect()}
+    rows = docs.collect()
+    for d in rows[::7]:
+        words = re.findall("[^\x20\x09-\x0d]+", d.text or "")
+        ids = [i for w in words for i in known.byte.encode_ordinary(" " + w)]
+        pieces = [i for w in words for i in known.pieces.encode(w)]
+        p = np.array(list(Counter(ids).values())) / max(len(ids), 1)
+        r = got[d.doc_id]
+        assert r.n_tokens == len(ids) and r.chars_per_token == pytest.approx(sum(map(len, words)) / max(len(ids), 1))
+        assert r.fallback_share == pytest.approx(sum(known.pieces.is_byte(i) for i in pieces) / max(len(pieces), 1))
+        assert r.token_entropy == pytest.approx(float(-(p * np.log2(p)).sum()) / max(np.log2(max(len(ids), 2)), 1), abs=1e-9)
+    # bands: exact quartiles differ from approximate ones by a rank at most in tables this small
+    good = [got[d.doc_id] for d in rows if not got[d.doc_id].base_failed]
+    for d in rows:
+        r = got[d.doc_id]
+        band = [g for g in good if (g.lang or g.script) == (r.lang or r.script)]
+        band = band if len(band) >= fertility.FEW else good
+        inside = True
+        for m in fertility.MEASURES:
+            low, mid, high = (sorted(getattr(g, m) for g in band)[max(int(np.ceil(q * len(band))) - 1, 0)] for q in (0.25, 0.5, 0.75))
+            wider = 1 + fertility.SHORT / max(r.n_tokens, 1)
+            inside &= mid - max((mid - low) * fertility.REACH, fertility.SLACK[m]) * wider <= getattr(r, m) <= mid + max((high - mid) * fertility.REACH, fertility.SLACK[m]) * wider
+        assert r.kept == (inside and not r.base_failed)
+
+
 def test_op5_queries_of_regexes():
     f = secrets.trigram_query
     assert f("abc") == {frozenset({"abc"})} and f("ab") is None and f("[a-z]+") is None and f("(abc)?") is None
@@ -417,6 +478,43 @@ def test_op9(spark, odd):
     assert quality.classified(odd.limit(0), model, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_op9_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    model = quality.fitted(docs, labels.where(~held))
+    found = quality.classified(docs, model, F.col("source"), F.col("lang")).join(labels.where(held), "doc_id").select("quality", "_quality.kept").collect()
+    assert len(found) > 50 and sum(r.kept == bool(r.quality) for r in found) >= 0.95 * len(found)
+
+
+def test_op9_equals_plain_posteriors(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, f"h{k % 7}", f"p{int(v)}", float(p)) for k, (v, p) in enumerate(zip(rng.integers(0, 5, 600), rng.beta(2, 1, 600), strict=True))]
+    rows += [(600, "rare", "only", 0.02), (601, "rare", "other", 0.97)]
+    df = spark.createDataFrame(rows, "doc_id long, h string, p string, e double").select("doc_id", "h", "p", F.struct(F.col("h").alias("host"), F.col("p").alias("path"), F.col("e").alias("evidence")).alias("_quality"))
+    got = {r.doc_id: r for r in quality.judged(df).select("doc_id", "_quality.*").collect()}
+
+    def posterior(groups, centre_of):
+        n = sum(map(len, groups.values()))
+        means = {k: sum(v) / len(v) for k, v in groups.items()}
+        within = sum((x - means[k]) ** 2 for k, v in groups.items() for x in v) / max(n - len(groups), 1)
+        between = max((sum(len(v) * (means[k] - centre_of(k)) ** 2 for k, v in groups.items()) - within * (len(groups) - 1)) / n, 1e-9)
+        m = min(max(within / between, 1.0), 10_000.0)
+        return {k: (sum(v) + m * centre_of(k)) / (len(v) + m) for k, v in groups.items()}
+
+    centre = sum(r[3] for r in rows) / len(rows)
+    hosts, paths = {}, {}
+    for _, h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    host = posterior(hosts, lambda k: centre)
+    path = posterior(paths, lambda k: host[k[0]])
+    logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    for k, h, p, e in rows:
+        want = 1 / (1 + np.exp(-(logit(e) + logit(path[h, p]) - logit(centre))))
+        assert got[k].host_posterior == pytest.approx(host[h]) and got[k].path_posterior == pytest.approx(path[h, p])
+        assert got[k].posterior == pytest.approx(want) and got[k].kept == (want >= 0.5)
+
+
 def test_op9_shrinks_sparse_sites(spark):
     rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.1)] * 200 + [("small", "c", 0.1)]
     table, centre = quality.sites(spark.createDataFrame(rows, "host string, path string, p double"))
@@ -443,6 +541,56 @@ def test_op10(spark, odd):
     assert toxicity.scored(odd.limit(0), weights).count() == 0 and len(toxicity.fitted(df.limit(0), truth).keys) == 0
 
 
+def test_op10_equals_plain_ftrl():
+    rng = np.random.default_rng(12)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    labels = np.array([int(3 in r) for r in rows])
+    got = toxicity.ftrl(rows, labels, 12, alpha=0.5, l1=0.3)
+    z, n = [0.0] * 13, [0.0] * 13  # the last coordinate is the bias, without L1
+
+    def weight(i):
+        l1 = 0.0 if i == 12 else 0.3
+        return 0.0 if abs(z[i]) <= l1 and i != 12 else (np.sign(z[i]) * l1 - z[i]) / ((1.0 + n[i] ** 0.5) / 0.5 + 1.0)
+
+    for _ in range(3):
+        for r, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in [*r.tolist(), 12]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i, v in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * v
+                n[i] += g * g
+    assert got.values == pytest.approx([weight(i) for i in range(12)], abs=1e-9) and got.bias == pytest.approx(weight(12), abs=1e-6)
+    assert (got.values == 0).any() and got.values[3] > 0
+
+
+def test_clashing_columns(spark, odd):
+    """A caller's columns come back as they were, whatever operators call theirs."""
+    names = ["row", "key", "p", "slot", "text_", "rules", "topic", "n_tokens", "weight", "probability", "host", "path", "_host", "_rules", "_source", "id", "found0", "a.b"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"mine {k}").alias(n) for k, n in enumerate(names)))
+    want = Counter(tuple(f"mine {k}" for k in range(len(names))) for _ in range(docs.count()))
+    model = quality.regression(np.zeros((0, len(quality.shape("")))), np.zeros(0))
+    for found in (quality.classified(docs, model, F.col("source"), F.col("lang")), mixing.mixed(docs), secrets.scanned(docs)):
+        assert Counter(tuple(r[n] for n in names) for r in found.collect()) == want
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.withColumn("found0", F.lit("mine")).withColumn("row", F.lit("mine"))
+    rows = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DATA)
+        if name == "best-fit packing":
+            assert got.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        else:
+            assert got.columns == docs.columns and got.count() <= rows and got.where("found0 <> 'mine' or row <> 'mine'").count() == 0
+        if name == "SimHash near-dedup":
+            assert got.where("doc_id is null").count() == 1 and got.where("doc_id = 1").count() == 0  # an empty text beside the null one
+        if name == "secret scan":
+            assert got.count() == rows and stage(spark, docs.drop("n_chars"), DATA).columns == docs.drop("n_chars").columns
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
