@@ -545,11 +545,11 @@ def test_op10_equals_plain_ftrl():
     rng = np.random.default_rng(12)
     rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
     labels = np.array([int(3 in r) for r in rows])
-    got = toxicity.ftrl(rows, labels, 12, alpha=0.5, l1=0.3)
+    got = toxicity.ftrl(rows, labels, 12, alpha=0.5, l1=2.0)
     z, n = [0.0] * 13, [0.0] * 13  # the last coordinate is the bias, without L1
 
     def weight(i):
-        l1 = 0.0 if i == 12 else 0.3
+        l1 = 0.0 if i == 12 else 2.0
         return 0.0 if abs(z[i]) <= l1 and i != 12 else (np.sign(z[i]) * l1 - z[i]) / ((1.0 + n[i] ** 0.5) / 0.5 + 1.0)
 
     for _ in range(3):
