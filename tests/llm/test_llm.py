@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables, with nulls, empty and long texts, ties, copies and odd columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -386,6 +387,28 @@ def test_op7(spark, monkeypatch, window):
     assert neighbours.linked(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_op7_recall_of_vectors_that_share_a_direction(spark, monkeypatch):
+    """Pairs at the threshold among vectors of a mean cosine of 0 and 0.7: passes are added until they are found."""
+    monkeypatch.setattr(neighbours, "WINDOW", 64)
+    rng = np.random.default_rng(11)
+    for mean in (0.0, 0.7):
+        x = rng.normal(size=(3000, 48))
+        x = math.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+        x[:, 0] += math.sqrt(mean)
+        u = rng.normal(size=(400, 48))
+        unit = x[:400] / np.linalg.norm(x[:400], axis=1, keepdims=True)
+        u -= (u * unit).sum(axis=1, keepdims=True) * unit
+        x = np.concatenate([x, 0.902 * unit + math.sqrt(1 - 0.902**2) * u / np.linalg.norm(u, axis=1, keepdims=True)])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.9
+        np.fill_diagonal(near, False)
+        got = neighbours.linked(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+        found = np.zeros(len(x), int)
+        for r in got.collect():
+            found[r.vec_id] = r.n_links
+        assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.93 * near.sum() and near.sum() >= 800
+
+
 def plain_fingerprint(text, words=3):
     found = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(found[k : k + words]) for k in range(len(found) - words + 1)] if len(found) >= words else [" ".join(found)] * bool(found)
