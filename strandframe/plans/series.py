@@ -213,9 +213,11 @@ _CELLS = "c AS (SELECT vec_id, i - 1 AS dim, CAST(round(v * 1000) AS BIGINT) AS
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as a grid: vector, dimension, thousandths."""
+    """Embeddings as a grid: vector, dimension, thousandths. Products keep the components' type, as in SQL: in floats some
+    reach the half that doubles stay below, and round the other way."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
-    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double") * 1000).cast("long").alias("v"))
+    thousand = F.lit(1000).cast(rows.schema["x"].dataType)
+    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x") * thousand).cast("long").alias("v"))
 
 
 @query(f"WITH {_CELLS}, d AS (SELECT vec_id, dim, v - coalesce(lag(v) OVER (PARTITION BY dim, vec_id // 64 ORDER BY vec_id), 0) AS d FROM c) SELECT vec_id, dim, {ZZ.format('d')} AS residual FROM d")

@@ -1,6 +1,9 @@
 """Every registered query beside its DuckDB twin on the smallest tables; those without one must have rows."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandframe.plans import registry
@@ -36,3 +39,26 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted(tuple(plain(r[k]) for k in at) for r in got.fetchall())
+
+
+def halves(n: int) -> np.ndarray:
+    """Floats whose products with 1000 are halves in floats, but not in doubles."""
+    x = ((np.arange(-400 * n, 400 * n) + 0.5) / 1000).astype(np.float32)
+    return x[(x * np.float32(1000) % 1 == 0.5) & (x.astype(float) * 1000 % 1 != 0.5)][:n]
+
+
+def equal_to_sql(spark, name, at, tables):
+    """The query and its SQL over tables of our own."""
+    con = duckdb.connect()
+    for t, rows in tables.items():
+        pq.write_table(rows, f"{at}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, str(at))
+    got = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert len(got) and sorted(map(tuple, df.collect())) == sorted(got)
+
+
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_lifting_split_rounds_as_sql(spark, tmp_path, kind):
+    x = halves(640).reshape(10, 64).tolist()
+    equal_to_sql(spark, "lifting_split", tmp_path, {"embeddings": pa.table({"vec_id": range(10), "embedding": pa.array(x, pa.list_(kind))})})
