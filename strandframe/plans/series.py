@@ -222,7 +222,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CELLS}, d AS (SELECT vec_id, dim, v - coalesce(lag(v) OVER (PARTITION BY dim, vec_id // 64 ORDER BY vec_id), 0) AS d FROM c) SELECT vec_id, dim, {ZZ.format('d')} AS residual FROM d")
 def volume_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir).withColumn("slab", F.floor(F.col("vec_id") / 64))
+    rows = cells(spark, sf_dir).withColumn("slab", F.expr("vec_id div 64"))  # whole numbers, towards zero, as SQL's //
     return series.axis_delta(rows, ["dim", "slab"], "vec_id", "v").select("vec_id", "dim", "residual")
 
 

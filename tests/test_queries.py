@@ -62,3 +62,10 @@ def equal_to_sql(spark, name, at, tables):
 def test_lifting_split_rounds_as_sql(spark, tmp_path, kind):
     x = halves(640).reshape(10, 64).tolist()
     equal_to_sql(spark, "lifting_split", tmp_path, {"embeddings": pa.table({"vec_id": range(10), "embedding": pa.array(x, pa.list_(kind))})})
+
+
+def test_volume_delta_is_as_sql(spark, tmp_path):
+    """Rounding, and slabs of ids that are negative or too large for doubles."""
+    ids = [*range(-70, 70), *(2**60 + k for k in range(-3, 3))]
+    x = np.resize(halves(640), (len(ids), 8)).tolist()
+    equal_to_sql(spark, "volume_delta", tmp_path, {"embeddings": pa.table({"vec_id": ids, "embedding": pa.array(x, pa.list_(pa.float32()))})})
