@@ -40,12 +40,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id: five-word shingles, a similarity of 0.8 or more.
+    """One document of each group of near copies, that with the smallest doc_id: SimHash fingerprints at most 2 bits apart, or
+    five-word shingles with a similarity of 0.8 or more, which fingerprints alone don't tell.
 
     Null and empty texts are copies of one another. Rows with a null doc_id stay; of rows that share a doc_id, all or none.
     More columns stay as they are, whatever their names. Empty input: no rows.
     """
-    found = simhash.near_clusters(docs, words=5, similarity=0.8)
+    found = simhash.near_copies(docs, words=3, within=2, similar_words=5, similarity=0.8)
     copies = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
     return joined_small(beside(docs, id=F.col("doc_id").cast("long")), copies, ["id"], "left_anti").select(*again(docs.columns))
 

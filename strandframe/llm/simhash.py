@@ -369,6 +369,25 @@ def clusters(docs: DataFrame, words: int = 3, within: int = 2) -> DataFrame:
     return grouped(prints, within)
 
 
+def near_copies(docs: DataFrame, words: int = 3, within: int = 2, similar_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every document: groups of texts that chains of links join.
+
+    Texts whose fingerprints (of ``words``-word shingles) are at most ``within`` bits apart link, all of them, by vantage-point
+    trees. A fingerprint misses most near copies of a lower similarity, so those texts also link whose sets of
+    ``similar_words``-word shingles have at least this Jaccard similarity (``near_clusters``), whatever their fingerprints.
+
+    Null and empty texts are one class; rows with a null doc_id have a null component and join nothing; rows that share a
+    doc_id are one node; empty input: no rows.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    pairs = lambda found: found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    close, close_at = written(pairs(clusters(known, words, within)), "close")
+    alike_, alike_at = written(pairs(near_clusters(known, similar_words, similarity)), "alike")
+    root = components(close.union(alike_))
+    dropped(docs.sparkSession, close_at, alike_at)
+    return joined_small(docs.select(F.col("doc_id").cast("long").alias("node")), root, ["node"]).select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("component_id"))
+
+
 def grouped(prints: DataFrame, within: int = 2) -> DataFrame:
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(classes, within))

@@ -490,6 +490,31 @@ def test_pipeline_near_copies_equal_all_pairs(spark):
     assert len(set(label.tolist())) > 10 and [got[k] for k in range(len(docs))] == label.tolist()
 
 
+def test_pipeline_near_copies_link_by_fingerprints_and_shingles(spark):
+    """The stage keeps the first document of each group that both kinds of links join, by brute force over all pairs."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(10)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), 8)) for _ in range(n)]
+    docs = [fresh(60) for _ in range(20)]
+    for _ in range(20):  # much the same line with a few words of their own: fingerprints are near, sets of shingles are not
+        line = fresh(12)
+        a, b = (line * 60 + fresh(8) for _ in range(2))
+        docs += [b, a, a + fresh(2)]  # the last one's set is near the second one's
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in docs]
+    fp = [simhash.fingerprint(" ".join(t)) for t in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i)]
+    close = [(i, j) for i, j in pairs if (fp[i] ^ fp[j]).bit_count() <= 2]
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert set(close) - set(alike) and set(alike) - set(close)
+    label = np.arange(len(docs))
+    local_union(label, *np.array(close + alike).T)
+    df = spark.createDataFrame([*((k, " ".join(t)) for k, t in enumerate(docs)), (None, " ".join(docs[0]))], "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.deduplicate(spark, df, DATA).collect()}
+    assert got == {*np.flatnonzero(label == np.arange(len(docs))).tolist(), None}
+    assert corpus_pipeline.deduplicate(spark, df.limit(0), DATA).count() == 0
+
+
 def test_op9(spark, odd):
     found = queries.op9_quality_classifier(spark, DATA)
     truth = spark.read.parquet(f"{DATA}/labels.parquet")
