@@ -96,3 +96,32 @@ def test_predictions_come_back():
         there = K.predicted(q, v, mode)
         assert K.predicted(q, there, mode, inverse=True) == v and all(-(2**31) <= x < 2**31 for x in there)
     assert K.modal({}) == 0 and K.modal({-2: 1, 2: 1, 3: 1}) == -2 and K.predicted([1, 1, 1], [7, 7, 9], 1) == [7, 0, 2]
+
+
+def plain_periods(x: np.ndarray) -> list[tuple[float, int, str]]:
+    """Each residual by itself, each chunk size counted anew."""
+    tried = []
+    for lag in K.width_candidates(x):
+        for place, (name, residual) in enumerate((("xor", K.xor_lag), ("sub", K.sub_lag))):
+            if 2 * lag <= len(x):
+                tried.append((round(K.local_estimate(residual(x, lag), (*K.CHUNKS, 2048)), 6), lag, place, name))
+    return [(e, lag, name) for e, lag, _, name in sorted(tried)[:4]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 255, 256, 257, 511, 640, 2048, 4095, 4096, 4097, 9001, 70_000])
+def test_periods_equal_plain_ones(n):
+    rng = np.random.default_rng(n)
+    record = np.resize(rng.integers(0, 256, 48), n).astype(np.uint8)
+    record[::7] += rng.integers(0, 3, len(record[::7])).astype(np.uint8)
+    for x in (rng.integers(0, 256, n).astype(np.uint8), np.zeros(n, np.uint8), record, rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), n)):
+        assert K.periods(x) == plain_periods(x)
+
+
+def test_periods_count_a_residual_once():
+    """Work, not time: one count over the bytes of many residuals, where each chunk size of each had one of its own."""
+    x = np.random.default_rng(1).integers(0, 64, 8192).astype(np.uint8)
+    calls, count = [], np.bincount
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(K.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+        K.periods(x)
+    assert len(calls) <= len(K.width_candidates(x))
