@@ -125,3 +125,28 @@ def test_periods_count_a_residual_once():
         m.setattr(K.np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
         K.periods(x)
     assert len(calls) <= len(K.width_candidates(x))
+
+
+def plain_best_periods(x: np.ndarray, lags: range, most: int | None) -> list[tuple[float, int, str]]:
+    """Every lag, each residual by itself."""
+    tried = [(round(K.local_estimate(residual(x, lag), (*K.CHUNKS, 2048)), 6), lag, place, name) for lag in lags for place, (name, residual) in enumerate((("xor", K.xor_lag), ("sub", K.sub_lag)))]
+    return [(e, lag, name) for e, lag, _, name in sorted(tried)[:most]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 31, 255, 256, 640, 2047, 4097])
+def test_best_periods_try_every_lag(n):
+    rng = np.random.default_rng(n)
+    record = np.resize(rng.integers(0, 256, 607), n).astype(np.uint8)  # a period that is no candidate
+    record[::7] += rng.integers(0, 3, len(record[::7])).astype(np.uint8)
+    for x in (rng.integers(0, 256, n).astype(np.uint8), np.zeros(n, np.uint8), record, rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), n), np.repeat(rng.integers(0, 9, n // 90 + 1).astype(np.uint8), 90)[:n]):
+        assert K.best_periods(x) == plain_best_periods(x, range(1, n // 2 + 1), 4)
+        if n < 700:
+            assert K.best_periods(x, None) == plain_best_periods(x, range(1, n // 2 + 1), None)
+
+
+def test_best_periods_of_a_long_sequence():
+    """More than 255 chunks, and a period beyond 2048."""
+    rng = np.random.default_rng(5)
+    for x in (np.resize(rng.integers(0, 256, 9013), 40_000).astype(np.uint8), rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 40_000), np.zeros(40_000, np.uint8)):
+        assert K.best_periods(x, lags=range(8990, 9050)) == plain_best_periods(x, range(8990, 9050), 4)
+    assert K.best_periods(np.resize(rng.integers(0, 256, 2503), 9000).astype(np.uint8))[0][1] == 2503

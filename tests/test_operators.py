@@ -167,3 +167,14 @@ def test_estimates():
     x = np.concatenate([np.zeros(512, np.uint8), np.full(512, 7, np.uint8)])
     assert K.local_estimate(x, (512,)) == pytest.approx(min(K.estimate(x), 2 + 2 * K.estimate(x[:512])))
     assert K.width_candidates(x[:16]) == []
+
+
+def test_period_profile_tries_every_lag(spark):
+    """The period is longer than a sixteenth of the text; lags that are dealt out are ranked as those of one task."""
+    text = ("".join(chr(97 + (7 * k * k + k // 3) % 26) for k in range(61)) * 8)[:400]
+    df = spark.createDataFrame([(1, text), (1, text[:150]), (2, None), (3, ""), (4, "ab"), (5, text[:61] * 3 + "x" * 90)], "id long, text string")
+    best = {(r.id, r.lag) for r in blobs.period_profile(df, ["id"], "text").where("rank = 0").collect()}
+    assert (1, 61) in best
+    for most, count in ((4, 3 * 4 + 2), (None, 400 + 150 + 2 + 2 * 136)):  # "ab" has one lag
+        found = rows(blobs.period_profile(df, ["id"], "text", most))
+        assert len(found) == count and found == rows(blobs.period_profile(df, ["id"], "text", most, unit=9_000))
